@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termforest.llm.consensus import spectral_consensus
 from termforest.llm.cutoff import closest_cutoffs, score_frequencies
 from termforest.llm.distinctive import term_scores
+from termforest.llm.langid import fit_language_model, label_languages, language_code
 from termforest.llm.split import oversized, spans_of
 from termforest.llm.topn import top_items
 
@@ -16,6 +17,30 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+LANGS = ["en", "ru", "kk", "de"]
+
+
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = _table(spark, folder, "document_chunks")
+    model = fit_language_model(chunks, "id", "text", "lang", LANGS)
+    return label_languages(chunks.select("id", "lang", "text"), "text", model)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the chunks whose label names none of them, or that hold several."""
+    labelled = _languages(spark, folder).select("id", language_code(F.col("lang")).alias("label"), F.col("language.langs").alias("langs"))
+    agrees = F.coalesce(F.array_contains("langs", F.col("label")), F.lit(False))
+    found = labelled.filter(~agrees | (F.size("langs") > 1)).filter("langs is not null")
+    return found.select(F.col("id").alias("chunk_id"), F.explode("langs").alias("lang")).distinct()
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk's one-language segments with their confidence, beside the language of the whole chunk."""
+    labelled = _languages(spark, folder).select("id", "language.*")
+    chunk = [F.col("id").alias("chunk_id"), F.col("lang").alias("chunk_lang"), F.round("confidence", 4).alias("chunk_confidence")]
+    return labelled.select(*chunk, F.posexplode_outer("segments").alias("segment", "s")).select("chunk_id", "chunk_lang", "chunk_confidence", "segment", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.lang").alias("lang"), F.round("s.confidence", 4).alias("confidence"))
+
+
 def _cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     edges = _table(spark, folder, "taxonomy_edge_candidates")
     lang = F.lower(F.trim("lang"))
@@ -105,6 +130,8 @@ def p7_reviewers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p3_found": p3_found,
     "p3_cutoffs": p3_cutoffs,
     "p4_found": p4_found,
