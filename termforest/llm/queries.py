@@ -9,8 +9,12 @@ from termforest.llm.consensus import spectral_consensus
 from termforest.llm.cutoff import closest_cutoffs, score_frequencies
 from termforest.llm.distinctive import term_scores
 from termforest.llm.langid import fit_language_model, label_languages, language_code
+from termforest.llm.leakage import leaked_items
+from termforest.llm.mixing import allocate, default_vocabulary, mix_sources, shared_text_weight, token_counter, weighted
+from termforest.llm.reading import fit_reading_model, score_texts, with_levels
 from termforest.llm.split import oversized, spans_of
 from termforest.llm.topn import top_items
+from termforest.session import cut
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -129,6 +133,55 @@ def p7_reviewers(spark: SparkSession, folder: str) -> DataFrame:
     return _consensus(spark, folder).annotators.withColumnRenamed("annotator", "reviewer_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat a passage of a held-out item, with the item."""
+    leaks = leaked_items(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "benchmark_items"), "item_id", "text")
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = shared_text_weight(_table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+    count = token_counter(default_vocabulary())
+    return docs.select(F.col("doc_id").alias("record"), "source", count(F.col("text")).alias("size"), "weight"), _table(spark, folder, "mix_targets")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that fall short of their share even with all repeats."""
+    records, targets = _sized(spark, folder)
+    return allocate(weighted(records), targets).filter("short").select("source")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    records, targets = _sized(spark, folder)
+    return mix_sources(records, targets).records.select(F.col("record").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached size and share of every source."""
+    records, targets = _sized(spark, folder)
+    return mix_sources(records, targets).sources.withColumn("target", F.round("target", 2)).withColumn("share", F.round("share", 6))
+
+
+LEVELS = ["basic", "general", "specialist"]
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_reading_model(docs, "doc_id", "text", _table(spark, folder, "reading_anchors"), "level", LEVELS)
+    return with_levels(cut(score_texts(docs, "text", model).select("doc_id", "reading_score")), model)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the lowest reading level."""
+    return _levels(spark, folder).filter("level = 'basic'").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading score and level of every document."""
+    return _levels(spark, folder).withColumn("reading_score", F.round("reading_score", 4)).withColumn("confidence", F.round("confidence", 4))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
@@ -142,6 +195,12 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_consensus": p7_consensus,
     "p7_reviewers": p7_reviewers,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 _CUTOFFS = """
@@ -180,6 +239,9 @@ SELECT DISTINCT d.id AS chunk_id, c.term, c.y AS n_in_chunk, v.texts AS n_texts,
 FROM c JOIN (SELECT *, 1000.0::DOUBLE * total / everything AS a FROM v, s) v ON v.term = c.term JOIN l ON l.text = c.text JOIN document_chunks d ON d.text = c.text""",
     "p3_found": _CUTOFFS + "SELECT method, lang FROM b WHERE k = 1 AND gap > 0.05 + 1e-12",
     "p3_cutoffs": _CUTOFFS + "SELECT method, lang, keep_fraction, CAST(total AS BIGINT) AS total, s AS cutoff, CAST(kept AS BIGINT) AS kept FROM b WHERE k = 1",
+    "p9_found": """
+SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(length(text)) AS s FROM documents GROUP BY source) d ON d.source = m.source
+WHERE coalesce(d.s, 0) * m.max_repeats < m.target_share * (SELECT sum(length(text)) FROM documents)""",
     "p6_found": """
 WITH best AS (
   SELECT parent_concept_id, child_concept_id, id, final_score,
