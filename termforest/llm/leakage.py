@@ -42,6 +42,7 @@ RAREST = 3
 SHARED = 3
 CHANGED = 0.2
 BAND = 16
+CLOSE = 5
 BLOCK = 400_000
 MOST_CHARS = 200_000_000
 
@@ -54,12 +55,26 @@ _UNSEEN = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17
 _INVISIBLE = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _UNSEEN) + "]")
 
 
+class _Levelled(dict):
+    """Words by their levelled form, so that each different word is worked out once; emptied when it is full."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = plain = word.translate(_ALIKE)
+        return plain
+
+
+_LEVELLED = _Levelled()
+
+
 def words_of(text: str) -> list[str]:
     """The levelled words of a text."""
     text = _INVISIBLE.sub("", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_ALIKE)
-    return _TOKEN.findall(text.lower())
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    found = _TOKEN.findall(text.lower())
+    return found if text.isascii() else [_LEVELLED[w] for w in found]
 
 
 def passages_of(items: list[tuple[int, str]]) -> dict[int, list[list[str]]]:
@@ -112,10 +127,12 @@ def anchors_of(passages: dict[int, list[list[str]]], terms: dict[str, int], freq
 
 
 def _aligned(passage: list[str], bounds: list[tuple[int, int]], words: list[str]) -> bool:
-    """Whether ``words`` hold a run of the passage, or two of its sentences with few changes."""
+    """Whether ``words`` hold two sentences of the passage with few changes."""
+    # two whole sentences with few changes need most of their words somewhere; this spares most alignments
+    present = set(words)
+    if sum(1 for s, e in bounds if sum(w in present for w in passage[s:e]) >= (1 - CHANGED) * 0.8 * (e - s)) < 2:
+        return False
     blocks = [b for b in SequenceMatcher(None, passage, words, autojunk=False).get_matching_blocks() if b.size]
-    if any(b.size >= RUN for b in blocks):
-        return True
     for i in range(len(blocks)):
         matched = changed = 0
         for j in range(i, len(blocks)):
@@ -133,9 +150,8 @@ def _aligned(passage: list[str], bounds: list[tuple[int, int]], words: list[str]
     return False
 
 
-def _runs(passage: list[str], words: list[str]) -> bool:
-    """Whether a run of ``RUN`` words of the passage occurs in ``words``."""
-    grams = {tuple(passage[k : k + RUN]) for k in range(len(passage) - RUN + 1)}
+def _runs(grams: set[tuple[str, ...]], words: list[str]) -> bool:
+    """Whether one of the runs of ``RUN`` words of a passage occurs in ``words``."""
     return any(tuple(words[k : k + RUN]) in grams for k in range(len(words) - RUN + 1))
 
 
@@ -170,10 +186,13 @@ def _leaks_of_block(docs: DataFrame, record: str, text: str, passages: dict[int,
     anchors = spark.createDataFrame(anchors_of(passages, terms, frequency), schema)
     # the query block bounds the anchors, so they are sent to the postings
     hits = index.join(F.broadcast(anchors), "term").select("doc", "item", "place", F.explode("positions").alias("at"))
-    band = F.floor((F.col("at") - F.col("place")) / BAND)
-    # two bands per hit, half of them shared with each neighbour: offsets less than a band apart meet in one
-    near = hits.select("doc", "item", "place", F.col("at") - F.col("place"), F.explode(F.array(band, band + 1)).alias("band"))
-    candidates = near.groupBy("doc", "item", "band").agg(F.count_distinct("place").alias("n")).filter("n >= 2").select("doc", "item", "band").distinct()
+    # a repeated stretch has all its anchors at one offset; a changed copy of two sentences has most of theirs close by
+    lists = hits.groupBy("doc", "item", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("n"))
+    band = F.floor(F.col("offset") / BAND)
+    # every offset goes into two bands, so that offsets less than a band apart meet in one
+    near = lists.select("doc", "item", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    met = near.groupBy("doc", "item", "band").agg(F.max("n").alias("at_one"), F.sum("n").alias("close"))
+    candidates = met.filter((F.col("at_one") >= RAREST) | (F.col("close") >= CLOSE)).select("doc", "item", "band")
     per_doc = candidates.groupBy("doc").agg(F.collect_list(F.struct("item", "band")).alias("hits"))
     rows = docs.select(F.col(record).alias("doc"), F.col(text).alias("text")).dropna().join(cut(per_doc), "doc")
     shared = spark.sparkContext.broadcast(passages)
@@ -194,11 +213,12 @@ def _leaks_of_block(docs: DataFrame, record: str, text: str, passages: dict[int,
                         for s in sentences:
                             bounds.append((start, start + len(s)))
                             start += len(s)
-                        known[i] = [w for s in sentences for w in s], bounds
-                    passage, bounds = known[i]
+                        joined = [w for s in sentences for w in s]
+                        known[i] = joined, bounds, {tuple(joined[k : k + RUN]) for k in range(len(joined) - RUN + 1)}
+                    passage, bounds, grams = known[i]
                     for stretch in _stretches(offsets, len(passage)):
                         part = words[max(0, stretch[0]) : stretch[1]]
-                        if _runs(passage, part) or _aligned(passage, bounds, part):
+                        if _runs(grams, part) or _aligned(passage, bounds, part):
                             found.append(i)
                             break
                 out.append(found)
