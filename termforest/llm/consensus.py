@@ -105,7 +105,7 @@ def _reliabilities(votes: DataFrame, weights: DataFrame, prior: float) -> DataFr
     rest = weighted.join(sums, "item").withColumn("p", F.when(F.col("n") > 1, 1 / (1 + F.exp(-(F.col("all") - F.col("pull") + F.lit(prior))))))
     positive = F.when(F.col("n") > 1, (F.col("vote") > 0).cast("double"))
     slope = F.covar_pop(positive, F.col("p")) / F.nullif(F.var_pop("p"), F.lit(0.0))
-    return rest.groupBy("annotator").agg(F.count("*").alias("n_votes"), ((1 + F.least(F.greatest(slope, F.lit(-1.0)), F.lit(1.0))) / 2).alias("reliability"))
+    return rest.groupBy("annotator").agg(F.count("*").alias("n_votes"), slope.alias("slope")).select("annotator", "n_votes", F.when(F.col("slope").isNotNull(), (1 + F.least(F.greatest("slope", F.lit(-1.0)), F.lit(1.0))) / 2).alias("reliability"))
 
 
 def spectral_consensus(df: DataFrame, item: str, annotator: str, label: str, time: str, tie: str, prior: float = 10.0) -> Consensus:

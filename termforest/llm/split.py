@@ -97,7 +97,7 @@ def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
 
 def oversized(text: Column, limit: Column) -> Column:
     """True for items over their limit; false, not null, for missing texts and limits."""
-    return F.coalesce(F.length(text) > F.greatest(limit, F.lit(1)), F.lit(False))
+    return F.coalesce(limit.isNotNull() & (F.length(text) > F.greatest(limit, F.lit(1))), F.lit(False))
 
 
 def spans_of(text: Column, limit: Column, overlap: Column) -> Column:
