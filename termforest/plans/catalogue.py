@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from termforest.plans import graph_queries, hierarchy_queries, kernel_queries, relation_queries, term_queries
+from termforest.plans import graph_queries, hierarchy_queries, kernel_queries, read_queries, relation_queries, term_queries
 
 FLAGSHIP = "tfidf_top_terms"
-_MODULES = (term_queries, graph_queries, kernel_queries, relation_queries, hierarchy_queries)
+_MODULES = (term_queries, graph_queries, kernel_queries, relation_queries, read_queries, hierarchy_queries)
 
 
 def queries() -> dict:
