@@ -90,12 +90,25 @@ def semantic_score(evidence: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(evidence, of)), F.lit(0.0))
 
 
-def rejection_reason(parent: Column, child: Column, df: Column, score: Column, method: Column, evidence: Column, min_score: Column, recovery: bool = False, min_df: int = MIN_PARENT_DF) -> Column:
-    """ED-07: first reason to reject an edge, or null. ``df`` is the document frequency of the parent."""
-    valid, validity = is_valid_parent(parent, df, min_df), parent_validity(parent, df, min_df)
+def label_facts(labels: DataFrame, min_df: int = MIN_PARENT_DF) -> DataFrame:
+    """(label, df) with ``facts``: what the rules ask of a label, worked out once per label instead of once per edge."""
+    label, df = F.col("label"), F.col("df")
+    facts = F.struct(is_valid_parent(label, df, min_df).alias("valid"), parent_validity(label, df, min_df).alias("validity"), X.is_low_quality_label(label).alias("low"), F.array_distinct(X.tokens(label)).alias("words"), F.size(X.tokens(label)).alias("n"))
+    return labels.select("label", "df", facts.alias("facts"))
+
+
+def shared_words(parent: Column, child: Column) -> Column:
+    """Token overlap of two labels by their facts."""
+    x, y = parent["words"], child["words"]
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
+
+
+def rejection_reason(parent: Column, child: Column, score: Column, method: Column, evidence: Column, min_score: Column, recovery: bool = False) -> Column:
+    """ED-07: first reason to reject an edge, or null. ``parent`` and ``child`` are the facts of the labels."""
+    valid, validity = parent["valid"], parent["validity"]
     semantic, sim, lex = semantic_score(evidence), evidence_max(evidence, "similarity"), evidence_max(evidence, "lexical_similarity")
-    shared = F.greatest(lex, X.token_jaccard(parent, child))
-    np_, nc = F.size(X.tokens(parent)), F.size(X.tokens(child))
+    shared = F.greatest(lex, shared_words(parent, child))
+    np_, nc = parent["n"], child["n"]
     bridge, anchor = method.isin("component_bridge", "component_anchor_bridge"), method == "component_anchor_bridge"
     weak = method.isin(*L.RECOVERY_METHODS) if recovery else F.lit(False)
     lone_ok = (bridge & (score >= 0.72) & (semantic >= 0.60)) | (anchor & (sim >= 0.62) & (lex >= 0.28) & (score >= 0.60)) | (weak & (sim >= 0.60) & (lex >= 0.22) & (score >= 0.58))
@@ -108,7 +121,7 @@ def rejection_reason(parent: Column, child: Column, df: Column, score: Column, m
     return (
         F.when(~valid, "invalid_parent_label")
         .when(validity < 0.42, "low_parent_validity")
-        .when(X.is_low_quality_label(parent) | X.is_low_quality_label(child), "low_quality_label")
+        .when(parent["low"] | child["low"], "low_quality_label")
         .when((np_ == 1) & (nc == 1) & ~lone_ok, "single_to_single")
         .when(np_ > nc + 1, "parent_too_long")
         .when(score < min_score, "score_below_threshold")
@@ -175,14 +188,12 @@ def rank_score(parent: Column, child: Column, score: Column, df_parent: Column,
 
 
 def edge_features(edges: DataFrame) -> DataFrame:
-    """ED-13: the twelve features, from parent, child, method, score, df_parent, df_child, cooccurrence, parent_degree."""
-    jaccard = X.token_jaccard("parent", "child")
-    sem = semantic_score(F.col("evidence"))
-    return edges.withColumn("features", F.create_map(
-        F.lit("base_score"), F.col("score"), F.lit("method_weight"), method_weight(F.col("method")), F.lit("semantic_similarity"), sem,
-        F.lit("lexical_similarity"), F.greatest(jaccard, evidence_max(F.col("evidence"), "lexical_similarity")), F.lit("cooccurrence_support"), F.col("cooccurrence"),
-        F.lit("parent_validity"), parent_validity(F.col("parent"), F.col("df_parent")), F.lit("df_parent"), F.col("df_parent").cast("double"),
-        F.lit("df_child"), F.col("df_child").cast("double"), F.lit("df_gap"), (F.col("df_parent") - F.col("df_child")).cast("double"),
-        F.lit("parent_tokens"), F.size(X.tokens("parent")).cast("double"), F.lit("child_tokens"), F.size(X.tokens("child")).cast("double"),
-        F.lit("parent_degree"), F.col("parent_degree").cast("double"),
-    ))
+    """ED-13: the twelve features, from method, score, evidence, df_parent, df_child, parent_facts, child_facts, cooccurrence, parent_degree."""
+    p, c = F.col("parent_facts"), F.col("child_facts")
+    values = {
+        "base_score": F.col("score"), "method_weight": method_weight(F.col("method")), "semantic_similarity": semantic_score(F.col("evidence")),
+        "lexical_similarity": F.greatest(shared_words(p, c), evidence_max(F.col("evidence"), "lexical_similarity")), "cooccurrence_support": F.col("cooccurrence"),
+        "parent_validity": p["validity"], "df_parent": F.col("df_parent").cast("double"), "df_child": F.col("df_child").cast("double"),
+        "df_gap": (F.col("df_parent") - F.col("df_child")).cast("double"), "parent_tokens": p["n"].cast("double"), "child_tokens": c["n"].cast("double"), "parent_degree": F.col("parent_degree").cast("double"),
+    }
+    return edges.withColumn("features", F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]))

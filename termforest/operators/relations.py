@@ -48,9 +48,12 @@ def hearst_matches(chunks: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<struct<pattern:int,parent_text:string,child_text:string>>")
 
     def hits_of(number: int, pattern: str, parent_first: bool) -> Column:
-        groups = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"))])
-        parent, child = ("a", "b") if parent_first else ("b", "a")
-        return F.transform(groups, lambda z: F.struct(F.lit(number).alias("pattern"), z[parent].alias("parent_text"), z[child].alias("child_text")))
+        # one search through the text; the groups are read from what it found
+        def group(found: Column, n: int) -> Column:
+            return F.regexp_extract(found, pattern, n)
+
+        p, c = (1, 2) if parent_first else (2, 1)
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(number).alias("pattern"), group(m, p).alias("parent_text"), group(m, c).alias("child_text")))
 
     hits = [
         F.when((F.col("lang") == lang) & text.contains(literal), hits_of(k, pattern, first)).otherwise(nothing)

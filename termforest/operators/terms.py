@@ -23,8 +23,9 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     """(lang, term, n, df): uses of each normalised n-gram and the number of documents that hold it."""
     grams = chunks.select("lang", "document_id", F.explode(X.extract_ngrams("text")).alias("gram"))
     per_doc = grams.groupBy("lang", "gram", "document_id").agg(F.count("*").alias("n"))
-    # normalised once per n-gram and document, not once per use; different n-grams can give one term
-    terms = per_doc.withColumn("term", X.normalize_term("gram")).filter("term is not null")
+    # a vocabulary is far smaller than its uses, so each different n-gram is normalised once and joined back
+    known = per_doc.select("gram").distinct().select("gram", X.normalize_term("gram").alias("term")).filter("term is not null")
+    terms = per_doc.join(known, "gram")
     return terms.groupBy("lang", "term", "document_id").agg(F.sum("n").alias("n")).groupBy("lang", "term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
 
 

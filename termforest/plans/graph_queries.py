@@ -41,16 +41,17 @@ def _label_df(spark, folder):
 
 
 def _scored(spark, folder):
-    """Candidates with the evidence array, their blended score and label frequencies."""
+    """Candidates with the evidence array, their blended score and the facts of their labels."""
     c = candidates(spark, folder)
-    df = cut(_label_df(spark, folder).select("term", "df"))
+    facts = cut(E.label_facts(_label_df(spark, folder).select(F.col("term").alias("label"), "df")))
     cooc = F.get_json_object("evidence", "$.cooccurrence_support").cast("double")
+    c = c.select("id", "taxonomy_version_id", F.col("parent_label").alias("parent"), F.lower("parent_label").alias("_p"), F.lower("child_label").alias("_c"), "method", "decision", "evidence_score", E.blend(E.number(F.col("base_score")), F.col("ranker_score"), F.col("evidence_score")).alias("score"), F.try_element_at("feature_vector", F.lit("similarity")).alias("_sim"), cooc.alias("cooccurrence"))
+    p = facts.select(F.col("label").alias("_p"), F.col("df").alias("df_parent"), F.col("facts").alias("parent_facts"))
+    k = facts.select(F.col("label").alias("_c"), F.col("df").alias("df_child"), F.col("facts").alias("child_facts"))
+    j = c.join(p, "_p").join(k, "_c")
     none = F.lit(None).cast("double")
-    item = F.struct(F.col("method").alias("method"), F.try_element_at("feature_vector", F.lit("similarity")).alias("similarity"), none.alias("semantic_similarity"), none.alias("cosine_similarity"), F.col("evidence_score").alias("retrieval_evidence_score"), cooc.alias("cooccurrence_support"), X.token_jaccard("parent_label", "child_label").alias("lexical_similarity"))
-    c = c.select("id", "taxonomy_version_id", F.col("parent_label").alias("parent"), F.col("child_label").alias("child"), "lang", "method", "decision", E.blend(E.number(F.col("base_score")), F.col("ranker_score"), F.col("evidence_score")).alias("score"), F.array(item).alias("evidence"), cooc.alias("cooccurrence"))
-    p = df.select(F.col("term").alias("_p"), F.col("df").alias("df_parent"))
-    k = df.select(F.col("term").alias("_c"), F.col("df").alias("df_child"))
-    return c.join(p, F.lower("parent") == F.col("_p"), "left").join(k, F.lower("child") == F.col("_c"), "left").drop("_p", "_c").na.fill(0, ["df_parent", "df_child"])
+    item = F.struct(F.col("method").alias("method"), F.col("_sim").alias("similarity"), none.alias("semantic_similarity"), none.alias("cosine_similarity"), F.col("evidence_score").alias("retrieval_evidence_score"), F.col("cooccurrence").alias("cooccurrence_support"), E.shared_words(F.col("parent_facts"), F.col("child_facts")).alias("lexical_similarity"))
+    return j.withColumn("evidence", F.array(item)).drop("_p", "_c", "_sim")
 
 
 def parent_validity(spark, folder):
@@ -69,7 +70,7 @@ def blended_scores(spark, folder):
 def edge_rejection_reasons(spark, folder):
     """ED-05/06/07 of every candidate."""
     s = _scored(spark, folder)
-    reason = E.rejection_reason(F.col("parent"), F.col("child"), F.col("df_parent"), F.col("score"), F.col("method"), F.col("evidence"), F.lit(0.55))
+    reason = E.rejection_reason(F.col("parent_facts"), F.col("child_facts"), F.col("score"), F.col("method"), F.col("evidence"), F.lit(0.55))
     return s.select("id", F.coalesce(reason, F.lit("none")).alias("reason"))
 
 
@@ -84,7 +85,7 @@ def edge_features(spark, folder):
 def risk_scores(spark, folder):
     """ED-15 of every candidate."""
     s = _scored(spark, folder)
-    r = E.risk(F.col("score"), E.parent_validity(F.col("parent"), F.col("df_parent")), X.token_jaccard("parent", "child"), F.col("df_parent") - F.col("df_child"), F.col("decision") == "rejected")
+    r = E.risk(F.col("score"), F.col("parent_facts")["validity"], E.shared_words(F.col("parent_facts"), F.col("child_facts")), F.col("df_parent") - F.col("df_child"), F.col("decision") == "rejected")
     return s.select("id", F.round(r, 9).alias("risk"))
 
 

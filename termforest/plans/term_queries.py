@@ -9,10 +9,11 @@ from termforest.functions import lexicon as L
 from termforest.functions import text as X
 from termforest.operators import terms as T
 from termforest.plans import sql as S
+from termforest.session import spread
 
 
 def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.read.parquet(f"{folder}/document_chunks.parquet")
+    raw = spread(spark.read.parquet(f"{folder}/document_chunks.parquet").select("id", "document_id", "chunk_index", "lang", "text"))
     return raw.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", X.normalize_lang(F.coalesce("lang", F.lit(""))).alias("lang"), "text")
 
 

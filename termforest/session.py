@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is stored in fewer parts than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and go on from there; removed when the program ends.
 

@@ -115,7 +115,9 @@ def test_oversized_groups_are_refused(spark, monkeypatch):
 
 def reason(spark, parent, child, df, score, method, sem=0.0, sim=0.0, lex=0.0, low=0.55, recovery=False):
     ev = F.array(F.struct(F.lit(method).alias("method"), F.lit(sim).alias("similarity"), F.lit(sem).alias("semantic_similarity"), F.lit(None).cast("double").alias("cosine_similarity"), F.lit(float("nan")).alias("retrieval_evidence_score"), F.lit(0.0).alias("cooccurrence_support"), F.lit(lex).alias("lexical_similarity")))
-    return spark.range(1).select(E.rejection_reason(F.lit(parent), F.lit(child), F.lit(df), F.lit(score), F.lit(method), ev, F.lit(low), recovery).alias("r")).first()["r"]
+    facts = E.label_facts(spark.createDataFrame([(parent, df), (child, df)], "label string, df int").distinct())
+    row = facts.filter(F.col("label") == parent).select(F.col("facts").alias("p")).join(facts.filter(F.col("label") == child).select(F.col("facts").alias("c")))
+    return row.select(E.rejection_reason(F.col("p"), F.col("c"), F.lit(score), F.lit(method), ev, F.lit(low), recovery).alias("r")).first()["r"]
 
 
 @pytest.mark.parametrize("args, want", [
