@@ -241,12 +241,15 @@ def _top_share(scores: np.ndarray) -> np.ndarray:
 def fit_language_model(df: DataFrame, record: str, text: str, label: str, langs: list[str], sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most ``sample`` labelled rows of each of ``langs``."""
     rows = df.select(language_code(F.col(label)).alias("lang"), F.col(text).alias("text"), F.xxhash64(record).alias("h"))
-    rows = rows.filter(F.length("text").between(1, SAMPLE_CHARS))
-    fixed = None
-    for lang in langs:
-        part = rows.filter(F.col("lang") == lang).orderBy("h", "text").limit(sample).select("lang", "text")
-        fixed = part if fixed is None else fixed.unionAll(part)
-    return LanguageModel.fit([(r["lang"], r["text"]) for r in fixed.collect()], langs)
+    rows = rows.filter(F.length("text").between(1, SAMPLE_CHARS) & F.col("lang").isin(langs))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    chosen: list[tuple[str, str]] = []
+    for lang, n in sorted(counts.items()):
+        # hashes below this bound are about twice the sample, so no task hands on more than its share of that
+        share = min(1.0, 2 * sample / n)
+        below = rows.filter((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 40)) <= int(share * (1 << 40))))
+        chosen += [(r["lang"], r["text"]) for r in below.orderBy(F.pmod("h", F.lit(1 << 40)), "text").limit(sample).collect()]
+    return LanguageModel.fit(chosen, langs)
 
 
 def label_languages(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
