@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termforest.functions.text import let, token_jaccard
 from termforest.session import cut
 
+MOST_OPTIONS = 5_000_000
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -53,6 +57,68 @@ def best_parents(vectors: DataFrame, similarity: float = 0.58, percent: float =
     return best.join(F.broadcast(limit), "cluster").withColumn("accepted", F.col("sim") >= F.col("threshold"))
 
 
+def option_pairs(vectors: DataFrame, pool: int = 5) -> DataFrame:
+    """(cluster, child, parent, sim, jaccard) of every child with its cluster's parent pool; ``vectors`` has labels too."""
+    ranked = cut(rank_parents(vectors).select("cluster", "id", "label", "vector", "rank"))
+    pools = parent_pool(ranked, pool)
+    children = ranked.join(pools.select("cluster", "id"), ["cluster", "id"], "left_anti")
+    c = children.select("cluster", F.col("id").alias("child"), F.col("label").alias("cl"), F.col("vector").alias("cv"))
+    p = pools.select("cluster", F.col("id").alias("parent"), F.col("label").alias("pl"), F.col("vector").alias("pv"))
+    return c.join(p, "cluster").filter("cl <> pl").select("cluster", "child", "parent", F.round(dot("cv", "pv"), 6).alias("sim"), token_jaccard("cl", "pl").alias("jaccard"))
+
+
+def assign_parents(options: list[tuple[str, str, float, float]], threshold: float, cap: int) -> list[tuple[str, str, float, str]]:
+    """VEC-08..10 for one cluster: (child, parent, sim, method) from (child, parent, sim, jaccard).
+
+    Children by falling best similarity take the best parent with room, else the best; some take a second parent; those
+    left over get a relaxed second chance. Loads decide, so the order matters; ties go to the smaller ids.
+    """
+    by_child: dict[str, list[tuple[float, str, float]]] = {}
+    for child, parent, sim, jaccard in options:
+        by_child.setdefault(child, []).append((-sim, parent, jaccard))
+    order = sorted((min(o)[0], child) for child, o in by_child.items())
+    m, load, out, taken = len(order), {}, [], {}
+
+    def take(child: str, parent: str, sim: float, method: str) -> None:
+        load[parent] = load.get(parent, 0) + 1
+        taken.setdefault(child, set()).add(parent)
+        out.append((child, parent, sim, method))
+
+    for _, child in order:
+        good = [(p, -s) for s, p, _ in sorted(by_child[child]) if -s >= threshold]
+        if good and len(taken) < max(6, int(0.9 * m)):
+            take(child, *next(((p, s) for p, s in good if load.get(p, 0) < cap), good[0]), "embedding_clustering")
+    rounds = (
+        (threshold + 0.06, 0.20, cap + 1, max(1, int(0.12 * m)), True, "embedding_clustering_secondary_parent"),
+        (max(0.47, threshold - 0.07), 0.16, cap + 2, max(2, int(0.18 * m)), False, "embedding_clustering_relaxed"),
+    )
+    for least, lexical, room, most, second, method in rounds:
+        added = 0
+        for _, child in order:
+            if (child in taken) == second and added < most:
+                fit = next(((p, -s) for s, p, j in sorted(by_child[child]) if -s >= least and j >= lexical and load.get(p, 0) < room and p not in taken.get(child, ())), None)
+                if fit:
+                    take(child, *fit, method)
+                    added += 1
+    return out
+
+
+def embedding_hierarchy(vectors: DataFrame, similarity: float = 0.58, percent: float = 45, cap: int = 6, pool: int = 5) -> DataFrame:
+    """VEC-11: (cluster, child, parent, sim, method). A task sees one cluster's children with at most 12 options each."""
+    options = cut(option_pairs(vectors, pool))
+    over = options.groupBy("cluster").count().filter(F.col("count") > MOST_OPTIONS).limit(1).collect()
+    if over:
+        raise ValueError(f"a cluster has {over[0]['count']} options; at most {MOST_OPTIONS} are taken")
+    best = options.groupBy("cluster", "child").agg(F.max("sim").alias("s")).groupBy("cluster").agg(F.expr(f"percentile(s, {percent / 100}D)").alias("p"))
+    rows = options.join(F.broadcast(best), "cluster").withColumn("threshold", F.greatest(F.lit(similarity), "p"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = assign_parents(list(pdf[["child", "parent", "sim", "jaccard"]].itertuples(index=False, name=None)), float(pdf["threshold"].iloc[0]), cap)
+        return pd.DataFrame([(pdf["cluster"].iloc[0], *r) for r in got], columns=["cluster", "child", "parent", "sim", "method"])
+
+    return rows.groupBy("cluster").applyInPandas(step, "cluster string, child string, parent string, sim double, method string")
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """VEC-03: (id, cluster) by distributed k-means."""
     from pyspark.ml.clustering import KMeans
@@ -65,5 +131,11 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """VEC-01 fallback: character trigrams hashed into ``size`` places, length 1; no model is needed."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, 3)), F.lit(size)))
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double")))
+
+    def counted(grams: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+
+    def places(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - 2)), lambda i: F.pmod(F.xxhash64(F.substring(p, i, 3)), F.lit(size)))
+
+    return let(let(let(padded, places), counted), normalize)

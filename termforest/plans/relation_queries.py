@@ -95,12 +95,20 @@ def embedding_parents(spark, folder):
     return b.select("cluster", "child", "parent", "sim", F.round("threshold", 9).alias("threshold"), "accepted")
 
 
+def embedding_hierarchy_edges(spark, folder):
+    """VEC-01, VEC-08..11 over the concepts of each collection and language, with hashed label vectors."""
+    c = spark.read.parquet(f"{folder}/concepts.parquet")
+    group = F.concat_ws("/", "collection_id", X.normalize_lang(F.coalesce("lang", F.lit(""))))
+    v = c.select("id", F.lower("canonical").alias("label"), V.hashed_embedding(F.col("canonical")).alias("vector"), group.alias("cluster"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return V.embedding_hierarchy(v)
+
+
 def kmeans_clusters(spark, folder):
     """VEC-03: sizes of the clusters."""
     return V.kmeans(_vectors(spark, folder), 10).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hearst_matches, hearst_pairs, concept_relations, closest_labels, pair_cooccurrence_support, concept_doc_frequency, evidence_topk_snippets, directional_evidence, cluster_centroids, parent_ranking, embedding_parents, kmeans_clusters)}
+QUERIES = {f.__name__: f for f in (hearst_matches, hearst_pairs, concept_relations, closest_labels, pair_cooccurrence_support, concept_doc_frequency, evidence_topk_snippets, directional_evidence, cluster_centroids, parent_ranking, embedding_parents, embedding_hierarchy_edges, kmeans_clusters)}
 
 
 def _hearst() -> str:

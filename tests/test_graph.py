@@ -9,6 +9,7 @@ from termforest.operators import edges as E
 from termforest.operators import evaluate as V
 from termforest.operators import graph as G
 from termforest.operators import kernels as K
+from termforest.operators import vectors as W
 from termforest.operators.hierarchy import descendants, find_cycles, links_of, resolve_hierarchy
 
 
@@ -139,3 +140,11 @@ def test_scores(spark):
     assert t == {"a": 0.64, "b": 0.64}
     c = V.cross_language(spark.createDataFrame([("A", "B", "en"), ("B", "A", "ru"), (None, "B", "en")], "parent_label string, child_label string, lang string")).first()
     assert (c["comparable"], c["consistent"], c["consistency"]) == (1, 0, 0.0)
+
+
+def test_assignment_of_parents():
+    options = [("a", "p", 0.9, 0.5), ("a", "q", 0.85, 0.5), ("b", "p", 0.8, 0.0), ("b", "q", 0.7, 0.0), ("c", "p", 0.55, 0.3), ("c", "q", 0.1, 0.0), ("d", "p", 0.2, 0.9)]
+    got = W.assign_parents(options, 0.6, 1)
+    assert got[:2] == [("a", "p", 0.9, "embedding_clustering"), ("b", "q", 0.7, "embedding_clustering")]
+    assert ("a", "q", 0.85, "embedding_clustering_secondary_parent") in got and ("c", "p", 0.55, "embedding_clustering_relaxed") in got and not any(r[0] == "d" for r in got)
+    assert W.assign_parents([], 0.6, 1) == []
