@@ -21,7 +21,7 @@ PATTERNS = (
     ("en", "is a", _P + r"\s+is\s+a\s+(?:kind|type|form|sort)\s+of\s+" + _P + r"(?:\.|,)", False),
     ("en", "is one of", _P + r"\s+is\s+one\s+of\s+the\s+" + _P + r"(?:\.|,)", False),
     ("en", "belongs", _P + r"\s+belongs\s+to\s+the\s+" + _P + r"(?:\.|,)", False),
-    ("ru", "как", _P + r"\s*,?\s*таки[ех]?\s+как\s+" + _PS + r"(?:\.|,)", True),
+    ("ru", "как", _P + r"\s*,?\s*такие?\s+как\s+" + _PS + r"(?:\.|,)", True),
     ("ru", "друг", _PS + r"\s+и\s+други[еих]\s+" + _P + r"(?:\.|,)", False),
     ("ru", "частности", _P + r"\s*,?\s*в\s+частности\s+" + _PS + r"(?:\.|,)", True),
     ("ru", "например", _P + r"\s*,?\s*например\s+" + _PS + r"(?:\.|,)", True),
@@ -36,7 +36,11 @@ PATTERNS = (
     ("kk", "қатарына", _P + r"\s+" + _P + r"\s+қатарына\s+жатады(?:\.|,)", False),
 )
 # fixed values: phrases that announce a relation
-TRIGGERS = {"en": ("such as", "including", "kind of", "type of"), "ru": ("такие как", "например", "является"), "kk": ("сияқты", "мысалы", "түрі")}
+TRIGGERS = {
+    "en": ("such as", "including", "especially", "is a type of", "is one of"),
+    "ru": ("такие как", "в частности", "например", "является одним из", "относится к"),
+    "kk": ("мысалы", "атап айтқанда", "сияқты", "қатарына жатады"),
+}
 
 
 def hearst_matches(chunks: DataFrame) -> DataFrame:
@@ -122,6 +126,29 @@ def cooccurrence_support(presence: DataFrame, keys: tuple[str, ...] = ()) -> Dat
     return pairs.select(*keys, "a", "b", "n", F.least(F.lit(1.0), value).alias("support"))
 
 
+def trigger_pairs(chunks: DataFrame, labels: DataFrame, longest: int = 5) -> DataFrame:
+    """REX-03: (lang, parent, child, score, support) of similar labels in one chunk that holds a trigger phrase.
+
+    The label in two documents more is the parent, else the one of fewer words, else the more frequent, then the smaller.
+    A pair counts once per language however many chunks hold it; ``support`` is their number.
+    """
+    announced = X.any_of([(F.col("lang") == lang) & F.lower("text").contains(t) for lang, ts in TRIGGERS.items() for t in ts])
+    fit = labels.select("term").filter((F.length("term") >= 3) & (F.size(X.tokens("term")) <= 5))
+    df = phrase_hits(chunks, fit, longest).groupBy("term").agg(F.count_distinct("document_id").alias("df"))
+    found = phrase_hits(chunks.filter(announced), fit, longest, ()).drop("hits").join(chunks.select("chunk_id", "lang"), "chunk_id").join(df, "term").withColumn("n", F.size(X.tokens("term")))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("term", "df", "n")]
+    pairs = found.select("lang", "chunk_id", *side("a")).join(found.select("lang", "chunk_id", *side("b")), ["lang", "chunk_id"]).filter("a_term < b_term")
+    pairs = pairs.groupBy("lang", "a_term", "b_term", "a_df", "b_df", "a_n", "b_n").agg(F.count("*").alias("support"))
+    overlap, inside = X.token_jaccard("a_term", "b_term"), X.containment("a_term", "b_term")
+    kept = pairs.withColumn("o", overlap).withColumn("c", inside).filter(((F.col("o") >= 0.2) | (F.col("c") > 0)) & ~((F.col("a_n") == 1) & (F.col("b_n") == 1)))
+    gap = F.col("a_df") - F.col("b_df")
+    first = F.when(gap >= 2, True).when(gap <= -2, False).when(F.col("a_n") != F.col("b_n"), F.col("a_n") < F.col("b_n")).otherwise(gap >= 0)
+    rows = kept.withColumn("first", first)
+    lead = F.when(F.col("first"), gap).otherwise(-gap)
+    score = F.greatest(F.lit(0.60), F.least(F.lit(0.82), 0.58 + 0.10 * F.col("o") + 0.05 * F.col("c") + F.when(lead >= 1, 0.03).otherwise(0.0)))
+    return rows.select("lang", F.when(F.col("first"), F.col("a_term")).otherwise(F.col("b_term")).alias("parent"), F.when(F.col("first"), F.col("b_term")).otherwise(F.col("a_term")).alias("child"), F.round(score, 4).alias("score"), "support")
+
+
 def evidence_snippets(chunks: DataFrame, labels: DataFrame, k: int = 5, longest: int = 5) -> DataFrame:
     """REX-07: the first ``k`` chunks of each label as evidence (a report of that size), cut to 600 characters."""
     found = label_presence(chunks, labels, (), longest).select("term", "chunk_id").join(chunks.select("chunk_id", "document_id", "chunk_index", "text", "lang"), "chunk_id")

@@ -39,6 +39,11 @@ def concept_relations(spark, folder):
     return R.concept_relations(chunks_of(spark, folder), _labels(spark, folder).withColumnRenamed("term", "label"))
 
 
+def trigger_pairs(spark, folder):
+    """REX-03."""
+    return R.trigger_pairs(chunks_of(spark, folder), _labels(spark, folder))
+
+
 def closest_labels(spark, folder):
     """TXT-24: closest concept label of every surface form."""
     c = spark.read.parquet(f"{folder}/concepts.parquet")
@@ -108,7 +113,7 @@ def kmeans_clusters(spark, folder):
     return V.kmeans(_vectors(spark, folder), 10).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hearst_matches, hearst_pairs, concept_relations, closest_labels, pair_cooccurrence_support, concept_doc_frequency, evidence_topk_snippets, directional_evidence, cluster_centroids, parent_ranking, embedding_parents, embedding_hierarchy_edges, kmeans_clusters)}
+QUERIES = {f.__name__: f for f in (hearst_matches, hearst_pairs, concept_relations, trigger_pairs, closest_labels, pair_cooccurrence_support, concept_doc_frequency, evidence_topk_snippets, directional_evidence, cluster_centroids, parent_ranking, embedding_parents, embedding_hierarchy_edges, kmeans_clusters)}
 
 
 def _hearst() -> str:
@@ -132,7 +137,17 @@ _RANKED = _VEC + """, q AS (SELECT d.cluster, d.id, round(0.35::DOUBLE * sum(d.x
 r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY quality DESC, id) AS k, count(*) OVER (PARTITION BY cluster) AS n FROM q),
 pool AS MATERIALIZED (SELECT * FROM r WHERE k <= least(greatest(5, least(12, greatest(2, n // 3))), greatest(1, n - 1)))"""
 
+_TRIGGER = " OR ".join(f"(lang = '{lang}' AND contains(lower(text), '{t}'))" for lang, ts in R.TRIGGERS.items() for t in ts)
+
 ORACLE = {
+    "trigger_pairs": f"""WITH {CHUNKS}, labels AS (SELECT DISTINCT lower(canonical) AS term FROM concepts WHERE length(canonical) >= 3), fit AS (SELECT term, len({S.tokens('term')}) AS n FROM labels WHERE len({S.tokens('term')}) <= 5),
+ph AS (SELECT DISTINCT lang, chunk_id, document_id, text, term FROM (SELECT lang, chunk_id, document_id, text, unnest({S.phrases('text', 5)}) AS term FROM chunks)), h AS MATERIALIZED (SELECT ph.*, n FROM ph JOIN fit USING (term)),
+d AS (SELECT term, count(DISTINCT document_id) AS df FROM h GROUP BY term), t AS MATERIALIZED (SELECT lang, chunk_id, h.term, n, df, {S.tokens('h.term')} AS w FROM h JOIN d ON d.term = h.term WHERE {_TRIGGER}),
+p AS (SELECT a.lang, a.term AS x, b.term AS y, a.df - b.df AS gap, a.n AS xn, b.n AS yn, count(*) AS support, any_value(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w)))) AS o
+  FROM t a JOIN t b ON b.lang = a.lang AND b.chunk_id = a.chunk_id AND a.term < b.term GROUP BY ALL),
+q AS (SELECT *, (contains(x, y) OR contains(y, x))::INT AS c, CASE WHEN gap >= 2 THEN TRUE WHEN gap <= -2 THEN FALSE WHEN xn <> yn THEN xn < yn ELSE gap >= 0 END AS f FROM p)
+SELECT lang, CASE WHEN f THEN x ELSE y END AS parent, CASE WHEN f THEN y ELSE x END AS child, round(greatest(0.6::DOUBLE, least(0.82::DOUBLE, 0.58::DOUBLE + 0.1::DOUBLE * o + 0.05::DOUBLE * c + CASE WHEN (CASE WHEN f THEN gap ELSE -gap END) >= 1 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS score, support
+FROM q WHERE (o >= 0.2 OR c > 0) AND NOT (xn = 1 AND yn = 1)""",
     "hearst_matches": _hearst() + " SELECT chunk_id, CAST(pattern AS INT) AS pattern, count(*) AS n, CAST(sum(length(pt) + length(ct)) AS BIGINT) AS chars FROM m GROUP BY ALL",
     "hearst_pairs": _hearst() + f""", a AS (SELECT document_id, lang, ct, unnest({_enum('pt')}) AS x FROM m), b AS (SELECT document_id, lang, x, unnest({_enum('ct')}) AS y FROM a),
 n AS (SELECT document_id, lang, {S.candidate('x')} AS parent, {S.candidate('y')} AS child FROM b) SELECT lang, parent, child, count(*) AS support, count(DISTINCT document_id) AS docs FROM n WHERE parent <> child GROUP BY ALL""",
