@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termforest.operators.hierarchy import chains_of
 from termforest.session import cut
 
 
@@ -99,46 +100,62 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("grp", "node").distinct().join(nodes_of(edges), ["grp", "node"], "left_anti")
 
 
-def depths(edges: DataFrame, most: int = 1000) -> DataFrame:
+def _chains(edges: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """(grp, node, anchor, steps; walk with ``paths``) and the links into nodes of several parents.
+
+    The anchor of a node is the first root or node of several parents that its only parents lead up to, ``walk`` the way
+    down from there; both are found by pointer doubling, so deep chains cost their logarithm. Nodes on or below a cycle of
+    only parents have no anchor: no root reaches them.
+    """
+    ways = cut(edges.select("grp", "parent", "child").distinct())
+    several = cut(ways.groupBy("grp", "child").agg(F.count("*").alias("n")).filter("n > 1").select("grp", "child"))
+    single = ways.join(several, ["grp", "child"], "left_anti").select(F.col("grp").alias("scope"), "parent", "child")
+    walk = [F.col("path").alias("walk")] if paths else []
+    down = chains_of(single, paths).select(F.col("scope").alias("grp"), "node", F.col("root").alias("anchor"), F.col("depth").alias("steps"), *walk)
+    bare = cut(roots(ways).union(several).join(down.select("grp", "node"), ["grp", "node"], "left_anti"))
+    alone = bare.select("grp", "node", F.col("node").alias("anchor"), F.lit(0).alias("steps"), *([F.array("node").alias("walk")] if paths else []))
+    return down.unionByName(alone), cut(ways.join(several, ["grp", "child"], "left_semi"))
+
+
+def depths(edges: DataFrame) -> DataFrame:
     """Breadth-first depth of the nodes that a root reaches: (grp, node, depth), the shortest way counts."""
-    front = cut(roots(edges).withColumn("depth", F.lit(0)))
-    seen, k = front, 0
-    while k < most:
-        k += 1
-        step = edges.join(front.select("grp", F.col("node").alias("parent")), ["grp", "parent"]).select("grp", F.col("child").alias("node")).distinct()
-        front = cut(step.join(seen, ["grp", "node"], "left_anti").withColumn("depth", F.lit(k)))
-        if not front.limit(1).count():
-            break
-        seen = seen.union(front) if k % 16 else cut(seen.union(front))
-    return seen
+    far, joints = _chains(edges, False)
+    best = front = cut(roots(edges).withColumn("depth", F.lit(0)))
+    hops = cut(joints.join(far.withColumnRenamed("node", "parent"), ["grp", "parent"]).groupBy("grp", "anchor", F.col("child").alias("node")).agg((F.min("steps") + 1).alias("hop")))
+    while front.limit(1).count() and hops.limit(1).count():  # ends when no depth gets smaller
+        offer = hops.join(front.withColumnRenamed("node", "anchor"), ["grp", "anchor"]).groupBy("grp", "node").agg(F.min(F.col("depth") + F.col("hop")).alias("depth"))
+        known = best.select("grp", "node", F.col("depth").alias("_old"))
+        front = cut(offer.join(known, ["grp", "node"], "left").filter("_old is null or depth < _old").select("grp", "node", "depth"))
+        best = cut(best.join(front, ["grp", "node"], "left_anti").unionByName(front))
+    return far.join(best.withColumnRenamed("node", "anchor"), ["grp", "anchor"]).select("grp", "node", (F.col("depth") + F.col("steps")).alias("depth"))
 
 
 def limit_depth(edges: DataFrame, most: int) -> DataFrame:
-    """GR-09: edges whose child lies at most ``most`` steps below a root; graphs without a root stay as they are.
+    """GR-09: without the edges whose child lies more than ``most`` steps below the nearest root.
+
+    A child that no root reaches counts as depth 0, so its edges stay, and graphs without a root stay as they are.
+    """
+    deep = depths(edges).filter(F.col("depth") > most).select("grp", F.col("node").alias("child"))
+    return edges.join(deep, ["grp", "child"], "left_anti")
+
+
+def tree_rows(edges: DataFrame) -> DataFrame:
+    """GR-24: one row per path from a root: (grp, root, node, depth, path); a node on its own path ends it.
 
-    For acyclic graphs, where some root reaches every node; so ``most`` rounds suffice whatever the depth is.
+    Each round follows whole chains (see :func:`_chains`) and then one link into a node of several parents. Only there can
+    a path come back to itself, as the way to any other node leads through its anchor. It goes on until no path does.
     """
-    near = depths(edges, most)
-    rootless = edges.select("grp").distinct().join(near.select("grp").distinct(), "grp", "left_anti")
-    kept = edges.join(near.select("grp", F.col("node").alias("child")), ["grp", "child"], "left_semi")
-    return kept.unionByName(edges.join(rootless, "grp", "left_semi"))
-
-
-def tree_rows(edges: DataFrame, most: int = 100) -> DataFrame:
-    """GR-24: one row per path from a root: (grp, root, node, depth, path); a node on its own path ends it."""
-    front = cut(roots(edges).select("grp", F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")))
-    rows, k = front, 0
-    while k < most:
-        k += 1
-        front = cut(
-            front.select("grp", "root", F.col("node").alias("parent"), "path").join(edges.select("grp", "parent", "child"), ["grp", "parent"])
-            .filter(~F.array_contains("path", F.col("child")))
-            .select("grp", "root", F.col("child").alias("node"), F.lit(k).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-        )
-        if not front.limit(1).count():
+    chains, joints = _chains(edges, True)
+    front = cut(roots(edges).select("grp", F.col("node").alias("root"), F.col("node").alias("anchor"), F.array().cast("array<string>").alias("head")))
+    rows = None
+    while rows is None or front.limit(1).count():
+        new = front.join(chains, ["grp", "anchor"]).select("grp", "root", "node", F.concat("head", "walk").alias("path"))
+        rows = new if rows is None else rows.union(new)
+        if not joints.limit(1).count():
             break
-        rows = rows.union(front)
-    return rows
+        step = new.withColumnRenamed("node", "parent").join(joints, ["grp", "parent"]).filter(~F.array_contains("path", F.col("child")))
+        front = cut(step.select("grp", "root", F.col("child").alias("anchor"), F.col("path").alias("head")))
+    return rows.select("grp", "root", "node", (F.size("path") - 1).alias("depth"), "path")
 
 
 def graph_quality(edges: DataFrame, nodes: DataFrame, low_quality: DataFrame) -> DataFrame:

@@ -113,6 +113,42 @@ def find_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return endless, cycles
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return links.select("scope", F.col("parent").alias("node")).distinct().join(links.select("scope", F.col("child").alias("node")).distinct(), ["scope", "node"], "left_anti")
+
+
+def _climb(pointers: DataFrame, tops: DataFrame, paths: bool = True) -> DataFrame:
+    """(scope, node, root, depth, path) of nodes whose pointers all lead to ``tops``; without ``paths`` path is left out.
+
+    A pointer twice as long only ever ends at nodes where one half as long ended, so each round keeps no more than those
+    to be looked up, and a node is written again only until it is resolved.
+    """
+    unit = F.array("node").cast("array<string>") if paths else F.lit(1)
+    going = pointers.select("scope", "node", "up", F.lit(None).cast(pointers.schema["up"].dataType).alias("top"), unit.alias("walk"))
+    done = [cut(tops.select("scope", "node", F.lit(None).cast(pointers.schema["up"].dataType).alias("up"), F.col("node").alias("top"), unit.alias("walk")))]
+    going, pool = cut(going), None
+    while going.limit(1).count():
+        pool = going.unionByName(done[0]) if pool is None else pool
+        pool = cut(pool.join(going.select("scope", F.col("up").alias("node")).distinct(), ["scope", "node"], "left_semi"))
+        far = pool.select("scope", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("walk").alias("walk2"))
+        both = F.concat("walk", "walk2") if paths else F.col("walk") + F.col("walk2")
+        step = cut(going.join(far, ["scope", "up"]).select("scope", "node", F.col("up2").alias("up"), F.col("top2").alias("top"), both.alias("walk")))
+        done.append(step.filter("up is null"))
+        going, pool = step.filter("up is not null"), pool.filter("up is null").unionByName(step)
+    state = done[0]
+    for d in done[1:]:
+        state = state.unionByName(d)
+    length = (F.size("walk") if paths else F.col("walk")) - 1
+    return state.select("scope", "node", F.col("top").alias("root"), length.alias("depth"), *([F.reverse("walk").alias("path")] if paths else []))
+
+
+def chains_of(links: DataFrame, paths: bool = True) -> DataFrame:
+    """(scope, node, root, depth, path) of the nodes of ``links`` that their first parents lead to a root; see :func:`_climb`."""
+    pointers = cut(_primary(links))
+    endless, _ = _walks(pointers)
+    return _climb(pointers.select("scope", "node", "up").join(endless, ["scope", "node"], "left_anti"), _roots(links), paths)
+
+
 def resolve_hierarchy(links: DataFrame) -> Hierarchy:
     """Path, depth and root of every node of ``links`` (see :func:`links_of`), and the nodes on cycles.
 
@@ -122,23 +158,8 @@ def resolve_hierarchy(links: DataFrame) -> Hierarchy:
     links = cut(links)
     endless, cycles = find_cycles(links)
     pointers = _primary(links).select("scope", "node", "up").join(endless, ["scope", "node"], "left_anti")
-    roots = links.select("scope", F.col("parent").alias("node")).distinct().join(links.select("scope", F.col("child").alias("node")).distinct(), ["scope", "node"], "left_anti")
-    walk = "array<string>"
-    state = cut(
-        pointers.select("scope", "node", "up", F.array("node").cast(walk).alias("walk"))
-        .unionByName(roots.select("scope", "node", F.lit(None).cast(pointers.schema["up"].dataType).alias("up"), F.array("node").cast(walk).alias("walk")))
-    )
-    while True:
-        going = state.filter("up is not null")
-        if not going.limit(1).count():
-            break
-        far = state.select("scope", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("walk").alias("walk2"))
-        state = cut(
-            going.join(far, ["scope", "up"]).select("scope", "node", F.col("up2").alias("up"), F.concat("walk", "walk2").alias("walk"))
-            .unionByName(state.filter("up is null"))
-        )
-    trees = state.select("scope", "node", F.element_at("walk", -1).alias("root"), (F.size("walk") - 1).alias("depth"), F.reverse("walk").alias("path"), F.lit("tree").alias("state"))
-    lost = endless.select("scope", "node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(walk).alias("path"), F.lit("endless").alias("state"))
+    trees = _climb(pointers, _roots(links)).withColumn("state", F.lit("tree"))
+    lost = endless.select("scope", "node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit("endless").alias("state"))
     return Hierarchy(trees.unionByName(lost), cycles)
 
 
