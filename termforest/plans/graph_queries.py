@@ -24,11 +24,6 @@ def accepted(spark, folder):
     return G.edges_of(candidates(spark, folder).filter("decision = 'accepted'"), "taxonomy_version_id", "parent_concept_id", "child_concept_id", "final_score")
 
 
-def tree_edges(spark, folder):
-    """The accepted links that point from the smaller to the greater id: an acyclic graph."""
-    return accepted(spark, folder).filter("parent < child")
-
-
 def _version(df):
     return df.withColumnRenamed("grp", "taxonomy_version_id")
 
@@ -159,23 +154,23 @@ def orphan_concepts(spark, folder):
 
 
 def bfs_depths(spark, folder):
-    """Breadth-first depths of the acyclic links."""
-    return _version(G.depths(tree_edges(spark, folder)))
+    """Breadth-first depths of the nodes that a root reaches."""
+    return _version(G.depths(accepted(spark, folder)))
 
 
 def depth_limited_edges(spark, folder):
     """GR-09."""
-    return _version(G.limit_depth(tree_edges(spark, folder), 3)).select("taxonomy_version_id", "parent", "child")
+    return _version(G.limit_depth(accepted(spark, folder), 3)).select("taxonomy_version_id", "parent", "child")
 
 
 def tree_paths(spark, folder):
     """GR-24."""
-    return _version(G.tree_rows(tree_edges(spark, folder))).withColumn("path", F.array_join("path", "/"))
+    return _version(G.tree_rows(accepted(spark, folder))).withColumn("path", F.array_join("path", "/"))
 
 
 def tree_stats(spark, folder):
     """GR-25: nodes, counted once per path, and depth, a leaf alone being 1."""
-    return _version(G.tree_rows(tree_edges(spark, folder)).groupBy("grp").agg(F.count("*").alias("n_nodes"), (F.max("depth") + 1).alias("max_depth")))
+    return _version(G.tree_rows(accepted(spark, folder)).groupBy("grp").agg(F.count("*").alias("n_nodes"), (F.max("depth") + 1).alias("max_depth")))
 
 
 def _nodes(spark, folder):
@@ -195,7 +190,7 @@ def graph_quality(spark, folder):
 
 def structural_report(spark, folder):
     """EV-02 per version and language."""
-    e = cut(tree_edges(spark, folder))
+    e = cut(accepted(spark, folder))
     return _version(V.structure(_nodes(spark, folder), e, G.depths(e))).withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 

@@ -3,6 +3,7 @@
 import random
 
 from termforest.operators import graph as G
+from termforest.plans import graph_queries as Q
 
 
 def edges(spark, pairs):
@@ -44,3 +45,25 @@ def test_depths_and_paths_of_random_cyclic_graphs(spark):
         assert sorted(tuple(r["path"]) for r in got) == sorted(paths)
         assert all((r["root"], r["node"], r["depth"]) == (r["path"][0], r["path"][-1], len(r["path"]) - 1) for r in got)
         assert {r["node"]: r["depth"] for r in G.depths(edges(spark, pairs)).collect()} == depth
+
+
+def test_depth_limit_keeps_what_no_root_reaches(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z")]
+    kept = {(r["parent"], r["child"]) for r in G.limit_depth(edges(spark, pairs), 2).collect()}
+    assert kept == set(pairs) - {("c", "d")}
+    assert G.limit_depth(edges(spark, pairs[3:]), 2).count() == 3
+
+
+def test_queries_read_links_of_either_direction(spark, tmp_path):
+    pairs = {("m", "c"), ("c", "k"), ("k", "a"), ("a", "z"), ("y", "x"), ("x", "y"), ("x", "w")}
+    rows = [(str(i), "v", p, c, 0.5, "accepted") for i, (p, c) in enumerate(sorted(pairs))]
+    spark.createDataFrame(rows, "id string, taxonomy_version_id string, parent_concept_id string, child_concept_id string, final_score double, decision string").write.parquet(f"{tmp_path}/taxonomy_edge_candidates.parquet")
+    spark.createDataFrame([("v", "k")], "id string, collection_id string").write.parquet(f"{tmp_path}/taxonomy_versions.parquet")
+    spark.createDataFrame([("k", n, n, "en") for n in "mckazyxwo"], "collection_id string, id string, canonical string, lang string").write.parquet(f"{tmp_path}/concepts.parquet")
+    run = {n: Q.QUERIES[n](spark, str(tmp_path)).collect() for n in ("bfs_depths", "depth_limited_edges", "tree_paths", "tree_stats", "structural_report")}
+    assert {r["node"]: r["depth"] for r in run["bfs_depths"]} == {"m": 0, "c": 1, "k": 2, "a": 3, "z": 4}
+    assert {(r["parent"], r["child"]) for r in run["depth_limited_edges"]} == pairs - {("a", "z")}
+    assert {r["path"] for r in run["tree_paths"]} == {"m", "m/c", "m/c/k", "m/c/k/a", "m/c/k/a/z"}
+    assert [(r["n_nodes"], r["max_depth"]) for r in run["tree_stats"]] == [(5, 5)]
+    report = next(r for r in run["structural_report"] if r["lang"] == "all")
+    assert (report["n_roots"], report["n_leaves"], report["n_orphans"], report["max_depth"]) == (1, 2, 1, 4)
