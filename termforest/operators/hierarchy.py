@@ -26,10 +26,14 @@ from termforest.session import cut
 
 @dataclass(frozen=True)
 class Hierarchy:
-    """Result of :func:`resolve_hierarchy`; all frames have the columns ``scope`` and ``node``."""
+    """Result of :func:`resolve_hierarchy`; all frames have the columns ``scope`` and ``node``.
+
+    ``loops`` are the cycles that first parents alone form: scope, node, up, cycle_id.
+    """
 
     nodes: DataFrame
     cycles: DataFrame
+    loops: DataFrame
 
 
 def links_of(edges: DataFrame, scope: str | Column, parent: str, child: str) -> DataFrame:
@@ -102,15 +106,18 @@ def _closure_cycles(links: DataFrame) -> DataFrame:
     return reach.join(back, ["scope", "a", "b"]).groupBy("scope", F.col("a").alias("node")).agg(F.min("b").alias("cycle_id"))
 
 
+def _all_cycles(links: DataFrame, pointers: DataFrame, loops: DataFrame) -> DataFrame:
+    several = pointers.filter("n_parents > 1").select("scope").distinct()
+    if not several.limit(1).count():
+        return loops
+    return loops.join(several, "scope", "left_anti").unionByName(_closure_cycles(links.join(several, "scope", "left_semi")))
+
+
 def find_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes on cycles: scope, node, cycle_id; nodes that lead into a cycle by their first parents: scope, node)."""
+    """(nodes that lead into a cycle by their first parents: scope, node; nodes on cycles: scope, node, cycle_id)."""
     pointers = cut(_primary(links))
-    endless, cycles = _walks(pointers)
-    several = pointers.filter("n_parents > 1").select("scope").distinct()
-    if several.limit(1).count():
-        rest = _closure_cycles(links.join(several, "scope", "left_semi"))
-        cycles = cycles.join(several, "scope", "left_anti").unionByName(rest)
-    return endless, cycles
+    endless, loops = _walks(pointers)
+    return endless, _all_cycles(links, pointers, loops)
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -152,18 +159,45 @@ def chains_of(links: DataFrame, paths: bool = True) -> DataFrame:
 def resolve_hierarchy(links: DataFrame) -> Hierarchy:
     """Path, depth and root of every node of ``links`` (see :func:`links_of`), and the nodes on cycles.
 
-    ``nodes``: scope, node, root, depth (0 at a root), path (ids from the root to the node), state (``tree``, or
-    ``endless`` for nodes on or below a cycle, whose root, depth and path are null). ``cycles``: scope, node, cycle_id.
+    ``nodes``: scope, node, root, depth (0 at a root), path (ids from the root to the node), state: ``tree``, or
+    ``endless`` for nodes on or below a cycle of first parents. Their root is that cycle, named by its smallest id; path
+    and depth begin at the first of its nodes that the way up meets. ``cycles``: scope, node, cycle_id.
     """
     links = cut(links)
-    endless, cycles = find_cycles(links)
-    pointers = _primary(links).select("scope", "node", "up").join(endless, ["scope", "node"], "left_anti")
-    trees = _climb(pointers, _roots(links)).withColumn("state", F.lit("tree"))
-    lost = endless.select("scope", "node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit("endless").alias("state"))
-    return Hierarchy(trees.unionByName(lost), cycles)
+    pointers = cut(_primary(links))
+    _, loops = _walks(pointers)
+    loops = cut(loops.join(pointers, ["scope", "node"]).select("scope", "node", "up", "cycle_id"))
+    tops = _roots(links).unionByName(loops.select("scope", "node"))
+    found = _climb(pointers.select("scope", "node", "up").join(loops, ["scope", "node"], "left_anti"), tops)
+    entry = loops.select("scope", F.col("node").alias("root"), "cycle_id")
+    nodes = found.join(entry, ["scope", "root"], "left").select(
+        "scope", "node", F.coalesce("cycle_id", "root").alias("root"), "depth", "path", F.when(F.col("cycle_id").isNull(), "tree").otherwise("endless").alias("state")
+    )
+    return Hierarchy(nodes, _all_cycles(links, pointers, loops.select("scope", "node", "cycle_id")), loops)
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """All (scope, ancestor, node, distance) pairs of the resolved nodes; one row per pair, never a collected list."""
-    steps = nodes.filter("state = 'tree'").select("scope", "node", "depth", F.posexplode("path").alias("at", "ancestor"))
+def _steps(nodes: DataFrame) -> DataFrame:
+    steps = nodes.select("scope", "node", "depth", F.posexplode("path").alias("at", "ancestor"))
     return steps.filter("at < depth").select("scope", "ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """All (scope, ancestor, node, distance) pairs of the tree nodes; one row per pair, never a collected list."""
+    return _steps(nodes.filter("state = 'tree'"))
+
+
+def all_descendants(found: Hierarchy) -> DataFrame:
+    """:func:`descendants` with the nodes on and below cycles: once each, by the shortest way, no node under itself.
+
+    Besides the nodes of its path, every other node of the cycle is above such a node.
+    """
+    # the place of a node: its steps below the smallest id of its cycle
+    tops = found.loops.filter("node = cycle_id").select("scope", "node")
+    place = _climb(found.loops.filter("node <> cycle_id").select("scope", "node", "up"), tops, False)
+    place = cut(place.select("scope", F.col("root").alias("cycle_id"), F.col("node").alias("on"), F.col("depth").alias("place")))
+    size = place.groupBy("scope", "cycle_id").agg(F.count("*").cast("int").alias("size"))
+    ends = cut(found.nodes.filter("state = 'endless'").select("scope", F.col("root").alias("cycle_id"), "node", "depth", F.element_at("path", 1).alias("on")))
+    entry = ends.join(place, ["scope", "cycle_id", "on"])
+    above = cut(place.join(size, ["scope", "cycle_id"]).select("scope", "cycle_id", F.col("on").alias("ancestor"), F.col("place").alias("p"), "size"))
+    around = entry.join(above, ["scope", "cycle_id"]).filter("ancestor <> on")
+    return _steps(found.nodes).unionByName(around.select("scope", "ancestor", "node", (F.col("depth") + F.pmod(F.col("place") - F.col("p"), F.col("size"))).alias("distance")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforest.operators.hierarchy import descendants, find_cycles, links_of, resolve_hierarchy
+from termforest.operators.hierarchy import all_descendants, find_cycles, links_of, resolve_hierarchy
 
 
 def _accepted(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,14 +20,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, depth and root of every concept of the accepted links; depth -1 on or below a cycle."""
+    """Path, depth and root of every concept of the accepted links; on or below a cycle from its first node on."""
     nodes = resolve_hierarchy(_accepted(spark, folder)).nodes
-    return nodes.select(F.col("scope").alias("taxonomy_version_id"), F.col("node").alias("concept_id"), F.col("root").alias("root_id"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.concat_ws("/", "path").alias("path"), "state")
+    return nodes.select(F.col("scope").alias("taxonomy_version_id"), F.col("node").alias("concept_id"), F.col("root").alias("root_id"), "depth", F.concat_ws("/", "path").alias("path"), "state")
 
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """Every (ancestor, descendant) pair of the accepted links with its distance."""
-    pairs = descendants(resolve_hierarchy(_accepted(spark, folder)).nodes)
+    pairs = all_descendants(resolve_hierarchy(_accepted(spark, folder)))
     return pairs.select(F.col("scope").alias("taxonomy_version_id"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("concept_id"), "distance")
 
 
