@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforest.functions import text as X
-from termforest.operators.terms import phrase_hits
+from termforest.operators.terms import occurrences, phrase_hits
+from termforest.session import cut
 
 _P = r"([\p{L}\p{N}_\s]+?)"
 _PS = r"([\p{L}\p{N}_\s,]+?)"
@@ -150,15 +151,19 @@ def trigger_pairs(chunks: DataFrame, labels: DataFrame, longest: int = 5) -> Dat
 
 
 def evidence_snippets(chunks: DataFrame, labels: DataFrame, k: int = 5, longest: int = 5) -> DataFrame:
-    """REX-07: the first ``k`` chunks of each label as evidence (a report of that size), cut to 600 characters."""
-    found = label_presence(chunks, labels, (), longest).select("term", "chunk_id").join(chunks.select("chunk_id", "document_id", "chunk_index", "text", "lang"), "chunk_id")
-    order = Window.partitionBy("term").orderBy("document_id", "chunk_index", "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("term", "rank", "document_id", "lang", F.substring("text", 1, 600).alias("snippet"))
+    """REX-07: the sentences of the first ``k`` uses of each label, one of each document first (a report of that size).
+
+    A sentence is cut to 600 characters, as published.
+    """
+    found = occurrences(chunks, labels, k, longest).select("term", "rank", "chunk_id", "document_id", "snippet").join(chunks.select("chunk_id", "lang"), "chunk_id")
+    return found.select("term", "rank", "document_id", "lang", F.substring("snippet", 1, 600).alias("snippet"))
 
 
 def directional_evidence(pairs: DataFrame, snippets: DataFrame) -> DataFrame:
     """REX-08: (parent, child, evidence): how far the snippets of both labels state the direction.
 
+    The ratio is that of the documents with snippets of both labels to those with snippets of either.
+
     Patterns hold the labels of the row itself, so they are built as a column.
     """
     p, c = F.lower("parent"), F.lower("child")
@@ -168,13 +173,13 @@ def directional_evidence(pairs: DataFrame, snippets: DataFrame) -> DataFrame:
 
     gap = ".{0,80}"
     forms = [(p, "such as", c), (c, "is (?:a|an|one of)", p), (c, "является", p), (p, "такие как", c), (p, "мысалы", c)]
-    s = snippets.select("term", "document_id", F.lower("snippet").alias("s"))
-    rows = pairs.join(s.withColumnRenamed("term", "_t"), F.col("_t") == p).unionByName(pairs.join(s.withColumnRenamed("term", "_t"), F.col("_t") == c))
+    s = cut(snippets.select("term", "document_id", F.lower("snippet").alias("s")))  # both sides read it
+    side = lambda label, own: pairs.join(s.withColumnRenamed("term", "_t"), F.col("_t") == label).withColumn("own", F.lit(own))
+    rows = side(p, True).unionByName(side(c, False))
     both = F.col("s").contains(p) & F.col("s").contains(c)
     stated = reduce(lambda a, b: a + b, [F.regexp_like("s", F.concat(F.lit("(?s)"), quoted(a), F.lit(gap + w + gap), quoted(b))).cast("int") for a, w, b in forms])
     against = reduce(lambda a, b: a + b, [F.regexp_like("s", F.concat(F.lit("(?s)"), quoted(b), F.lit(gap + w + gap), quoted(a))).cast("int") for a, w, b in forms])
-    docs = F.count_distinct("document_id")
-    shared = F.count_distinct(F.when(both, F.col("document_id")))
-    agg = rows.groupBy("parent", "child").agg(F.sum(F.when(both, stated).otherwise(0)).alias("hits"), F.sum(F.when(both, against).otherwise(0)).alias("contra"), (shared / docs).alias("ratio"))
+    of_parent, of_child = (F.collect_set(F.when(x, F.col("document_id"))) for x in (F.col("own"), ~F.col("own")))
+    agg = rows.groupBy("parent", "child").agg(F.sum(F.when(both, stated).otherwise(0)).alias("hits"), F.sum(F.when(both, against).otherwise(0)).alias("contra"), (F.size(F.array_intersect(of_parent, of_child)) / F.greatest(F.lit(1), F.size(F.array_union(of_parent, of_child)))).alias("ratio"))
     value = 0.60 * F.least(F.lit(1.0), F.col("hits") / 3) + 0.40 * F.col("ratio") - F.least(F.lit(0.35), 0.12 * F.col("contra"))
     return agg.select("parent", "child", "hits", "contra", F.greatest(F.lit(0.0), value).alias("evidence"))
