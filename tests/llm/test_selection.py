@@ -43,13 +43,15 @@ def test_cutoffs_of_nothing_and_of_infinite_scores(spark):
     assert got["a"]["kept"] == 2 and got["a"]["cutoff"] == 1.0
 
 
-def test_top_items_match_brute_force(spark):
+@pytest.mark.parametrize("most_hot", [2, 10_000])
+def test_top_items_match_brute_force(spark, most_hot):
     rnd = random.Random(2)
     rows = [("big", f"i{rnd.randrange(400)}", rnd.choice([0.1, 0.5, 0.5, 0.9, None, NAN]), f"r{k:04d}") for k in range(3000)]
+    rows += [("wide", f"w{k}", s, f"w{k}") for k, s in enumerate([float("inf"), float("-inf"), 1e308, -1e308, *map(float, range(20))])] + [("even", f"e{k}", 0.5, f"e{k}") for k in range(40)]
     rows += [("small", "x", 0.2, "s1"), ("small", "x", 0.2, "s0"), ("tiny", "y", 0.1, "t"), (None, "z", 1.0, "n"), ("big", None, 1.0, "m")]
     df = spark.createDataFrame(rows, "g string, i string, s double, r string").withColumn("grp", F.lit("clash")).withColumn("item", F.lit(1))
     got = defaultdict(list)
-    for r in top_items(df.union(df), "g", "i", "s", "r", 6, small=10, max_large=100).collect():
+    for r in top_items(df.union(df), "g", "i", "s", "r", 6, most_hot=most_hot).collect():
         got[r["grp"]].append((r["rank"], r["item"], r["score"], r["record"]))
     want = defaultdict(dict)
     for g, i, s, r in rows:
