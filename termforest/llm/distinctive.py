@@ -13,8 +13,9 @@ Input rules: rows with a null record id or text and texts without a term give no
 text) give one; an id with several texts gets the terms of each; an empty input gives an empty result; other columns
 are ignored. All counts cover all rows.
 
-One shuffle brings equal texts together; tokens are counted where their text lies, and only (term, count) sums move.
-Terms found in a large part of all texts are spread over ``SPREAD`` parts in the join with their collection counts.
+One shuffle brings equal texts together; tokens are counted where their text lies, and the counts are stored once for all
+that reads them. Terms found in a large part of all texts, and texts found in a large part of all rows, are spread over
+several tasks where they are joined.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termforest.operators.joins import spread_join
+from termforest.session import store
+
 TERM = r"[\p{L}\p{N}]+"
-SPREAD = 32
-FREQUENT = 2000
-MOST_FREQUENT = 10_000
 
 
 def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
@@ -40,41 +41,30 @@ def term_counts(df: DataFrame, text: str) -> DataFrame:
     return spread.groupBy("k1", "k2", "n", "term").agg(F.count("*").alias("y"))
 
 
-def term_scores(df: DataFrame, record: str, text: str, min_count: int = 1, min_texts: int = 1, max_texts: int | None = None, prior: float = 1000.0) -> DataFrame:
+def term_scores(df: DataFrame, record: str, text: str, min_count: int = 1, min_texts: int = 1, max_texts: int | None = None, min_z: float | None = None, prior: float = 1000.0) -> DataFrame:
     """(record, term, y, texts, z): score of each term of each record.
 
     ``min_count`` is the least count in the record, ``min_texts`` and ``max_texts`` bound the number of different texts
-    that hold the term; they select which scores come out and change none.
+    that hold the term, ``min_z`` is a score to be exceeded; they select which scores come out and change none.
     """
-    counts = term_counts(df, text)
-    vocabulary = counts.groupBy("term").agg(F.sum("y").alias("total"), F.count("*").alias("texts"))
-    everything = vocabulary.agg(F.sum("total")).scalar()
-    wanted = F.col("texts") >= min_texts
+    counts = store(term_counts(df, text))
+    everything = counts.agg(F.sum("y")).scalar()
+    stats = counts.groupBy("term").agg(F.sum("y").alias("total"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     if max_texts is not None:
-        wanted &= F.col("texts") <= max_texts
-    stats = vocabulary.filter(wanted)
-    pairs = counts.filter(F.col("y") >= min_count)
-    # at most MOST_FREQUENT terms can each hold more than that part of all (text, term) pairs
-    bound = F.greatest(F.lit(FREQUENT), vocabulary.agg(F.sum("texts")).scalar() / MOST_FREQUENT)
-    if max_texts is not None and max_texts <= FREQUENT:
-        joined = pairs.join(stats, "term")
-    else:
-        # frequent terms exist once in every part, the others in part 0 only
-        parts = F.when(F.col("texts") > bound, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-        frequent = stats.filter(F.col("texts") > bound).select("term", F.lit(True).alias("frequent"))
-        part = F.when(F.col("frequent"), F.pmod("k1", F.lit(SPREAD)).cast("int")).otherwise(0)
-        flagged = pairs.join(F.broadcast(frequent), "term", "left").withColumn("part", part)
-        joined = flagged.join(stats.withColumn("part", F.explode(parts)), ["term", "part"])
+        stats = stats.filter(F.col("texts") <= max_texts)
+    joined = spread_join(counts.filter(F.col("y") >= min_count), stats, ["term"], ["k1", "k2"])
     a0 = F.lit(float(prior))
     a = a0 * F.col("total") / everything
     y, rest, n_rest = F.col("y"), F.col("total") - F.col("y"), everything - F.col("n")
     tiny = F.lit(1e-9)
     odds = F.log((y + a) / F.greatest(F.col("n") + a0 - y - a, tiny)) - F.log((rest + a) / F.greatest(n_rest + a0 - rest - a, tiny))
     scored = joined.withColumn("z", odds / F.sqrt(1 / (y + a) + 1 / (rest + a)))
+    if min_z is not None:
+        scored = scored.filter(F.col("z") > min_z)
     ids = (
         df.select(F.col(record).alias("record"), F.col(text).alias("text"))
         .dropna()
         .select("record", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
         .distinct()
     )
-    return ids.join(scored, ["k1", "k2"]).select("record", "term", "y", "texts", "z")
+    return spread_join(ids, scored, ["k1", "k2"], ["record"]).select("record", "term", "y", "texts", "z")

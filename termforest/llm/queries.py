@@ -97,9 +97,9 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Terms that occur three times or more in a chunk and in two to eight different texts."""
-    scores = term_scores(_table(spark, folder, "document_chunks"), "id", "text", min_count=3, min_texts=2, max_texts=8)
-    return scores.filter("z is not null").select(F.col("record").alias("chunk_id"), "term")
+    """Terms more frequent in a chunk than in all others (z above 0), three times or more there, in two to eight texts."""
+    scores = term_scores(_table(spark, folder, "document_chunks"), "id", "text", min_count=3, min_texts=2, max_texts=8, min_z=0.0)
+    return scores.select(F.col("record").alias("chunk_id"), "term")
 
 
 def p5_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -95,6 +95,8 @@ def test_scores_of_terms_match_the_formula(spark):
         assert got[i, w]["z"] == pytest.approx(z) and got[i, w]["y"] == y and got[i, w]["texts"] == sum(w in c for c in counts.values())
     some = term_scores(df, "id", "body", min_count=2, min_texts=2, max_texts=2).collect()
     assert {(r["record"], r["term"]) for r in some} == {("a", "grid"), ("a", "solar"), ("c", "wind")}
+    above = {(r["record"], r["term"]) for r in term_scores(df, "id", "body", min_z=0.0, prior=10.0).collect()}
+    assert above == {k for k, r in got.items() if r["z"] > 0} and len(above) < len(got)
     assert term_scores(df.limit(0), "id", "body").count() == 0
 
 
