@@ -42,9 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors.
+
+    A checkpoint keeps the size that the planner guessed for ``df``, and of a join it guesses the product of both sides.
+    In a loop the digits of that number double at every round, until planning takes longer than the work; so a guess
+    over 2 ** 62 bytes is forgotten.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    guess = done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if guess.bit_length() <= 62:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:
