@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termforest.llm.consensus import spectral_consensus
+from termforest.llm.consensus import agreement_of, leading_vector, spectral_consensus, votes_of
 from termforest.llm.cutoff import closest_cutoffs, score_frequencies
 from termforest.llm.mixing import mix_sources
 from termforest.llm.topn import top_items
@@ -92,6 +93,30 @@ def test_consensus_finds_guessers_and_liars(spark):
     assert len(items) == len({r[0] for r in rows if r[0]} - {None})
 
 
+def test_vector_is_the_leading_one_however_items_are_summed(spark):
+    rnd = random.Random(11)
+    who = {f"w{k}": 0.55 + 0.04 * k for k in range(9)}
+    rows = labels(rnd, 200, who)
+    df = spark.createDataFrame(rows, "cand string, who string, lab string, t int, id string")
+    votes = votes_of(df, "cand", "who", "lab", "t", "id")
+    names, ballots = sorted(who), defaultdict(dict)
+    for r in votes.collect():
+        ballots[r["item"]][r["annotator"]] = r["vote"]
+    mean = {w: np.mean([b[w] for b in ballots.values() if w in b]) for w in names}
+    g, n = np.zeros((9, 9)), np.zeros((9, 9))
+    for i, r in enumerate(names):
+        for j, s in enumerate(names):
+            if i != j:
+                common = [b[r] * b[s] for b in ballots.values() if r in b and s in b]
+                g[i, j], n[i, j] = (sum(common) - len(common) * mean[r] * mean[s]) / 2, len(common)
+    values, vectors = np.linalg.eig(g / (n.sum(axis=1) + 10.0)[:, None])
+    want = vectors[:, values.real.argmax()].real
+    want = want / want[np.abs(want).argmax()]
+    for paired in (50, 5):
+        got = {r["annotator"]: r["u"] for r in leading_vector(agreement_of(votes, paired), votes.select("annotator").distinct(), 10.0, 1e-4).collect()}
+        assert np.allclose([got[w] for w in names], want, atol=1e-3)
+
+
 def test_consensus_takes_the_latest_vote_and_bears_little(spark):
     schema = "cand string, who string, lab string, t int, id string"
     one = spectral_consensus(spark.createDataFrame([("a", "x", "true", 1, "1"), ("a", "x", "false", 2, "2")], schema), "cand", "who", "lab", "t", "id")
