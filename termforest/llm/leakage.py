@@ -9,11 +9,13 @@ lists of the anchors gives candidates, which are then read word by word:
 * exact phrase: at least ``RUN`` successive words of the passage;
 * proximity: two whole sentences or more, with at most ``CHANGED`` of the words altered, dropped or added.
 
-Sentences that ``SHARED`` or more items have are instructions and no part of a passage. Letter case, punctuation,
-spacing, invisible characters and look-alike letters are levelled out before.
+A sentence that stands beside ``SHARED`` or more different passages is an instruction and no part of a passage; so items
+with equal passages keep them. Letter case, punctuation, spacing, invisible characters and look-alike letters are
+levelled out before.
 
-The passages are a stated query set: they are held by the driver, ``BLOCK`` words at a time are sent to the executors,
-and a set over ``MOST_CHARS`` characters is refused. The training texts may be of any number and length.
+The passages are a stated query set: a set over ``MOST_CHARS`` characters is refused, which bounds what is sent to the
+executors; a larger one is asked in several calls. The index is built once for all of them, and the anchors of ``BLOCK``
+words at a time are joined with it. The training texts may be of any number and length.
 
 Input rules: items and documents with a null id or text are ignored; a passage without a stretch of ``RUN`` words can
 only be found by proximity, one with fewer than two sentences only by a phrase; repeated rows give one result row; empty
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -39,12 +41,12 @@ from termforest.session import cut, store
 
 RUN = 12
 RAREST = 3
-SHARED = 3
+SHARED = 5
 CHANGED = 0.2
 BAND = 16
 CLOSE = 5
 BLOCK = 400_000
-MOST_CHARS = 200_000_000
+MOST_CHARS = 40_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -77,11 +79,22 @@ def words_of(text: str) -> list[str]:
     return found if text.isascii() else [_LEVELLED[w] for w in found]
 
 
-def passages_of(items: list[tuple[int, str]]) -> dict[int, list[list[str]]]:
-    """Sentences (as words) of each item's passage, without the instructions that items share."""
+def passages_of(items: list[tuple[int, str]], shared: int = SHARED) -> dict[int, list[list[str]]]:
+    """Sentences (as words) of each item's passage, without the instructions that items share.
+
+    The sentences that the fewest items hold are the core of an item. A sentence beside ``shared`` different cores, and no
+    part of these, is an instruction.
+    """
     split = {i: [w for w in map(words_of, _SENTENCE.split(t)) if w] for i, t in items}
     seen = Counter(s for sentences in split.values() for s in {tuple(w) for w in sentences})
-    return {i: [w for w in sentences if seen[tuple(w)] < SHARED] for i, sentences in split.items()}
+    beside: dict[tuple[str, ...], set[frozenset]] = defaultdict(set)
+    for sentences in split.values():
+        least = min((seen[tuple(w)] for w in sentences), default=0)
+        core = frozenset(tuple(w) for w in sentences if seen[tuple(w)] == least)
+        for w in sentences:
+            if tuple(w) not in core:
+                beside[tuple(w)].add(core)
+    return {i: [w for w in sentences if len(beside.get(tuple(w), ())) < shared] for i, sentences in split.items()}
 
 
 def build_index(docs: DataFrame, record: str, text: str, terms: dict[str, int]) -> DataFrame:
@@ -162,6 +175,11 @@ def leaked_items(docs: DataFrame, record: str, text: str, items: DataFrame, item
     if total > MOST_CHARS:
         raise ValueError(f"the query set has {total} characters; at most {MOST_CHARS} are taken at a time")
     passages = {i: p for i, p in passages_of([(r["item"], r["text"]) for r in queries.orderBy("item", "text").collect()]).items() if p}
+    return _leaks_of(docs, record, text, passages, items.schema[item].dataType)
+
+
+def _blocks(passages: dict[int, list[list[str]]]) -> list[list[int]]:
+    """Items in groups of about ``BLOCK`` words."""
     blocks, size = [[]], 0
     for i, sentences in sorted(passages.items()):
         words = sum(map(len, sentences))
@@ -170,22 +188,21 @@ def leaked_items(docs: DataFrame, record: str, text: str, items: DataFrame, item
             size = 0
         blocks[-1].append(i)
         size += words
-    parts = [_leaks_of_block(docs, record, text, {i: passages[i] for i in block}, items.schema[item].dataType) for block in blocks]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    return found
+    return blocks
 
 
-def _leaks_of_block(docs: DataFrame, record: str, text: str, passages: dict[int, list[list[str]]], item_type: T.DataType) -> DataFrame:
+def _leaks_of(docs: DataFrame, record: str, text: str, passages: dict[int, list[list[str]]], item_type: T.DataType) -> DataFrame:
     spark = docs.sparkSession
     terms = {w: k for k, w in enumerate(sorted({w for p in passages.values() for s in p for w in s}))}
     index = build_index(docs, record, text, terms)
     frequency = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
     schema = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("item", item_type), T.StructField("place", T.IntegerType())])
-    anchors = spark.createDataFrame(anchors_of(passages, terms, frequency), schema)
-    # the query block bounds the anchors, so they are sent to the postings
-    hits = index.join(F.broadcast(anchors), "term").select("doc", "item", "place", F.explode("positions").alias("at"))
+    hits = None
+    for block in _blocks(passages):
+        anchors = spark.createDataFrame(anchors_of({i: passages[i] for i in block}, terms, frequency), schema)
+        # the query block bounds the anchors, so they are sent to the postings
+        found = index.join(F.broadcast(anchors), "term").select("doc", "item", "place", F.explode("positions").alias("at"))
+        hits = found if hits is None else hits.unionAll(found)
     # a repeated stretch has all its anchors at one offset; a changed copy of two sentences has most of theirs close by
     lists = hits.groupBy("doc", "item", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("n"))
     band = F.floor(F.col("offset") / BAND)

@@ -11,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from termforest.llm import leakage
 from termforest.llm.distinctive import term_scores
 from termforest.llm.langid import LanguageModel, fit_language_model, label_languages
-from termforest.llm.leakage import leaked_items, words_of
+from termforest.llm.leakage import leaked_items, passages_of, words_of
 from termforest.llm.reading import ReadingModel, fit_reading_model, score_texts, with_levels
 from termforest.llm.split import oversized, piece_spans, spans_of
 
@@ -124,6 +125,20 @@ def test_leaks_whole_partial_and_changed(spark):
     assert words_of("Ｔhe C​at-s") == ["the", "cat", "s"]
 
 
+def test_equal_passages_are_not_taken_for_instructions(spark, monkeypatch):
+    rnd = random.Random(9)
+    ask, same, own = "Please read the following text with care and answer all the questions below it.", passage(rnd), [passage(rnd) for _ in range(8)]
+    items = [(k, f"{ask} {same}") for k in range(6)] + [(10 + k, f"{ask} {p}") for k, p in enumerate(own)] + [(30, same)]
+    kept = passages_of(items)
+    assert all(kept[k] == kept[30] == passages_of([(0, same)])[0] for k in range(6)) and all(len(kept[10 + k]) == 4 for k in range(8))
+    docs = [(1, passage(rnd) + " " + same), (2, own[3]), (3, ask + " " + passage(rnd))]
+    want = [(1, k) for k in (*range(6), 30)] + [(2, 13)]
+    for block in (400_000, 50):
+        monkeypatch.setattr(leakage, "BLOCK", block)
+        got = leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t")
+        assert sorted((r["doc"], r["item"]) for r in got.collect()) == want
+
+
 EASY, HARD = "the cat sat on a mat we ran home and had tea".split(), "heterogeneity calibration interpretation methodological notwithstanding degradation coefficient".split()
 
 
