@@ -74,14 +74,15 @@ def default_vocabulary() -> str:
 
 @dataclass(frozen=True)
 class Mix:
-    """``records``: record, source, size, copies (0 and more). ``sources``: source, size, target, share, ``reached``."""
+    """``records``: record, source, size, copies (0 and more). ``sources``: source, size, target, short, used,
+    most_copies, share; ``short`` where even all copies of all records of a source come to less than its target."""
 
     records: DataFrame
     sources: DataFrame
 
 
 def allocate(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, size, target, most, factor, short) per target: size units wanted and the lambda that gives them.
+    """(source, size, target, most, factor) per target: size units wanted and the lambda that gives them.
 
     ``sizes``: source, size, class (weight class); ``targets``: source, target_share, max_repeats.
     """
@@ -95,8 +96,7 @@ def allocate(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     c = c.withColumn("open", F.sum(F.col("s") * F.col("w")).over(down.rowsBetween(0, Window.unboundedFollowing)))
     factor = F.try_divide(F.col("target") - F.col("capped") * F.col("most"), F.col("open"))
     fits = factor * F.col("w") <= F.col("most")
-    solved = c.groupBy("source", "target", "most").agg(F.sum("s").alias("size"), F.max(F.when(fits, F.greatest(factor, F.lit(0.0)))).alias("factor"))
-    return solved.withColumn("short", F.col("size") * F.col("most") < F.col("target"))
+    return c.groupBy("source", "target", "most").agg(F.sum("s").alias("size"), F.max(F.when(fits, F.greatest(factor, F.lit(0.0)))).alias("factor"))
 
 
 def mix_sources(records: DataFrame, targets: DataFrame, seed: int = 0) -> Mix:
@@ -114,10 +114,12 @@ def mix_sources(records: DataFrame, targets: DataFrame, seed: int = 0) -> Mix:
     cuts = closest_cutoffs(score_frequencies(part, {"source": F.col("source")}, -F.col("rank"), F.col("size")), rest, ["source"])
     limit = cuts.select("source", "cutoff")
     chosen = drawn.join(limit, "source", "left").withColumn("copies", (F.col("whole") + F.coalesce((-F.col("rank") >= F.col("cutoff")).cast("int"), F.lit(0))).cast("int"))
-    chosen = chosen.select("record", "source", "size", "copies")
-    used = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
+    chosen = cut(chosen.select("record", "source", "size", "copies"))
+    used = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.min("copies").alias("least_copies"), F.max("copies").alias("most_copies"))
     total = used.agg(F.sum("used")).scalar()
-    sources = plan.join(used, "source", "left").select("source", "size", "target", "short", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.try_divide(F.col("used"), total), F.lit(0.0)).alias("share"))
+    done = plan.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    spent = F.coalesce(F.col("least_copies") >= F.col("most"), F.lit(True))
+    sources = done.select("source", "size", "target", (spent & (F.col("used") < F.col("target"))).alias("short"), "used", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.try_divide(F.col("used"), total), F.lit(0.0)).alias("share"))
     return Mix(chosen, sources)
 
 

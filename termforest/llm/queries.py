@@ -10,7 +10,7 @@ from termforest.llm.cutoff import closest_cutoffs, score_frequencies
 from termforest.llm.distinctive import term_scores
 from termforest.llm.langid import fit_language_model, label_languages, language_code
 from termforest.llm.leakage import leaked_items
-from termforest.llm.mixing import allocate, default_vocabulary, mix_sources, shared_text_weight, token_counter, weighted
+from termforest.llm.mixing import default_vocabulary, mix_sources, shared_text_weight, token_counter
 from termforest.llm.reading import fit_reading_model, score_texts, with_levels
 from termforest.llm.split import oversized, spans_of
 from termforest.llm.topn import top_items
@@ -146,9 +146,9 @@ def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that fall short of their share even with all repeats."""
+    """Sources of the mix that fall short of their share although every document is used as often as it may be."""
     records, targets = _sized(spark, folder)
-    return allocate(weighted(records), targets).filter("short").select("source")
+    return mix_sources(records, targets).sources.filter("short").select("source")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
