@@ -21,6 +21,7 @@ from termforest.session import cut
 
 BUCKETS = 4096
 FINE_ROWS = 200_000
+FINITE = 1.7976931348623157e308
 
 
 def score_frequencies(df: DataFrame, keys: dict[str, Column], score: Column, weight: Column | None = None) -> DataFrame:
@@ -48,11 +49,14 @@ def closest_cutoffs(frequencies: DataFrame, targets: DataFrame, keys: list[str],
     inside = F.col("score").between(F.col("lo"), F.col("hi"))
     left = state.agg(F.sum("n")).first()[0]
     while state.filter(F.col("n") > fine_rows).limit(1).count():
-        width = F.col("hi") / buckets - F.col("lo") / buckets
-        cell = F.when(width > 0, F.floor((F.col("score") - F.col("lo")) / width)).otherwise(F.lit(0))
+        # infinite scores have cells of their own, so what lies between them can always be divided
+        lo, hi = F.greatest("lo", F.lit(-FINITE)), F.least("hi", F.lit(FINITE))
+        width = hi / buckets - lo / buckets
+        inner = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(buckets), F.floor(F.col("score") / width - lo / width)))).otherwise(F.lit(0))
+        cell = F.when(F.col("score") > FINITE, buckets + 1).when(F.col("score") < -FINITE, -1).otherwise(inner)
         cells = (
             null_safe_join(freq, state, keys, extra=inside)
-            .withColumn("cell", F.least(F.coalesce(cell, F.lit(0)), F.lit(buckets)))
+            .withColumn("cell", cell)
             .groupBy(*keys, "fraction", "total", "above", "cell")
             .agg(F.sum("w").alias("w"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n"))
             .withColumn("upto", F.col("above") + F.sum("w").over(by.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,7 +71,7 @@ def closest_cutoffs(frequencies: DataFrame, targets: DataFrame, keys: list[str],
         )
         now = state.agg(F.sum("n")).first()[0]
         if now >= left:
-            break  # infinite scores give a range that cannot be divided
+            raise ArithmeticError("a score range could not be divided")
         left = now
     gap = F.abs(F.col("kept") - goal) / F.col("total")
     run = F.sum("w").over(by.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))

@@ -42,6 +42,10 @@ def test_cutoffs_of_nothing_and_of_infinite_scores(spark):
     assert cutoffs(spark, [], [("a", 0.5)]) == {}
     got = cutoffs(spark, [("a", float("inf"), 0), ("a", 1.0, 0), ("a", 0.0, 0), ("a", -0.0, 0)], [("a", 0.5)], buckets=2, fine_rows=1)
     assert got["a"]["kept"] == 2 and got["a"]["cutoff"] == 1.0
+    scores = [float("inf"), float("-inf"), 1e308, -1e308, 5e-324, *(k / 7 for k in range(40))]
+    for fraction in (0.0, 0.03, 0.5, 0.97, 1.0):
+        got = cutoffs(spark, [("a", s, 0) for s in scores], [("a", fraction)], buckets=3, fine_rows=1)["a"]
+        assert got["kept"] == min(range(len(scores) + 1), key=lambda k: (abs(k / len(scores) - fraction), k))
 
 
 @pytest.mark.parametrize("most_hot", [2, 10_000])
