@@ -7,8 +7,9 @@ ones of one language form a segment, and a short or undecided sentence joins the
 
 The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` of each language, those with the smallest
 hash of their id, none over ``SAMPLE_CHARS`` characters. Some labels are wrong, so the sentences are labelled once with
-the first model and the counts taken again. The model keeps at most ``MOST_WORDS`` words and ``MOST_NGRAMS`` n-grams of
-each length, which bounds what is sent to the executors. Labelling covers every row and the whole text.
+the first model and the counts taken again. The sample bounds the model that is sent to the executors; nothing else is
+cut off it. A word or n-gram seen once in the sample says little and is left to shorter n-grams. Labelling covers every
+row and the whole text.
 
 Input rules: a null text has no language and no segments; neither has a text without a whole sentence (``SENTENCE_WORDS``
 words of two letters or more with no digit attached) and with fewer than two words or far more codes and figures; markup entities are ignored; repeated rows are
@@ -30,8 +31,6 @@ from pyspark.sql import types as T
 
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
-MOST_WORDS = 60_000
-MOST_NGRAMS = 40_000
 LONGEST = 5
 SENTENCE_WORDS = 5
 SURE = 0.9
@@ -75,11 +74,11 @@ def _one_script(word: str) -> str:
     return word if not latin or not cyrillic else word.translate(_TO_LATIN if latin >= cyrillic else _TO_CYRILLIC)
 
 
-def _log_frequencies(counts: list[Counter], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _log_frequencies(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
     total = Counter()
     for c in counts:
         total.update(c)
-    keys = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1]
+    keys = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0])) if n > 1]
     table = np.array([[c[k] + 0.5 for k in keys] for c in counts], dtype=np.float64).T.reshape(len(keys), len(counts))
     logs = np.log(table / (np.array([sum(c.values()) for c in counts]) + 0.5 * max(1, len(keys))))
     return {k: i for i, k in enumerate(keys)}, np.maximum(logs, logs.max(axis=1, keepdims=True) - WORD_SPREAD) if len(keys) else logs
@@ -121,7 +120,7 @@ class LanguageModel:
             for lang, ws in sentences:
                 if lang in index:
                     words[index[lang]].update(ws)
-            model.words, model.word_logs = _log_frequencies(words, MOST_WORDS)
+            model.words, model.word_logs = _log_frequencies(words)
             model.ngrams, model.ngram_logs = [], []
             for n in range(1, LONGEST + 1):
                 grams = [Counter() for _ in present]
@@ -129,7 +128,7 @@ class LanguageModel:
                     for w, k in c.items():
                         for x in _ngrams(w, n):
                             g[x] += k
-                keys, logs = _log_frequencies(grams, MOST_NGRAMS)
+                keys, logs = _log_frequencies(grams)
                 model.ngrams.append(keys)
                 model.ngram_logs.append(logs)
             model._seen = {}
