@@ -2,13 +2,16 @@
 
 A text is described by length (sentences, words), lexical diversity, word rarity, connectives and a proxy of clause
 depth. A proportional-odds model with an L2 penalty orders the levels by one score of these features and gives each
-level a probability. It is fitted on graded rows, at most ``SAMPLE`` of them (those with the smallest hash of their id).
+level a probability. It is fitted on graded rows, at most ``SAMPLE`` of them (those with the smallest hash of their id):
+their features are worked out on the executors, so the driver sees nine numbers of each and no text; the fit ends when
+the gradient is zero.
 The graded rows are drawn per level; so the level probabilities are adjusted to the proportions that they themselves
 imply over the whole corpus, by expectation maximisation over a histogram of scores.
 
 Word rarity is counted over all texts: the negative log of a word's relative frequency, with a floor of ``RAREST``; at
 most 1 / ``RAREST`` words can lie above that floor, which bounds the table sent to the executors at every size. A word's
-everyday share, how much more often graded texts of the lowest level hold it than the others do, is the second side.
+everyday share, how much more often graded texts of the lowest level hold it than the others do, is the second side; it
+is taken of the same bounded table of words.
 
 Input rules: header lines (``Name: value``, before the first blank line) are left out; a null text or one without words
 has a null level and score; a text of one sentence or word is scored like any other; repeated rows are scored alike;
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termforest.session import store
+
 SAMPLE = 5000
 RAREST = 1e-5
 CELLS = 200
@@ -108,29 +112,40 @@ class ReadingModel:
             p = p * (self.true_prior / self.prior)
         return p / p.sum(axis=1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 1500) -> ReadingModel:
-        """Proportional odds by gradient descent with momentum; ``y`` are level numbers."""
+    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, tolerance: float = 1e-8) -> ReadingModel:
+        """Proportional odds by damped Newton steps, until no entry of the gradient is over ``tolerance``; ``y`` are level numbers."""
         k = len(self.levels)
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         z = (x - self.mean) / self.scale
         self.prior = np.maximum(np.bincount(y, minlength=k), 0.5) / max(1, len(y))
         below = np.clip(np.cumsum(self.prior)[:-1], 0.02, 0.98)
         first = np.log(below / (1 - below))
-        # cuts as a first one and logs of gaps stay in order
-        theta = np.concatenate([np.zeros(z.shape[1]), first[:1], np.log(np.maximum(np.diff(first), 0.1))])
-        speed, d = np.zeros_like(theta), z.shape[1]
-        for _ in range(steps):
+        d = z.shape[1]
+
+        def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
             gaps = np.exp(theta[d + 1 :])
-            cuts = theta[d] + np.concatenate([[0.0], np.cumsum(gaps)])
+            cuts = np.append(theta[d] + np.concatenate([[0.0], np.cumsum(gaps)]), 0.0)
             s = z @ theta[:d]
-            upper = np.where(y < k - 1, _sigmoid(np.append(cuts, 0.0)[y] - s), 1.0)
-            lower = np.where(y > 0, _sigmoid(np.append(cuts, 0.0)[y - 1] - s), 0.0)
-            p = np.maximum(upper - lower, 1e-9)
+            upper = np.where(y < k - 1, _sigmoid(cuts[y] - s), 1.0)
+            lower = np.where(y > 0, _sigmoid(cuts[y - 1] - s), 0.0)
+            p = np.maximum(upper - lower, 1e-12)
             du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-            g_cut = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) for j in range(k - 1)])
-            g = np.concatenate([z.T @ (du - dl) + penalty * theta[:d], [g_cut.sum()], [g_cut[j + 1 :].sum() * gaps[j] for j in range(k - 2)]]) / len(y)
-            speed = 0.9 * speed - 0.3 * g
-            theta = theta + speed
+            of_cut = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) for j in range(k - 1)])
+            slope = np.concatenate([z.T @ (du - dl) + penalty * theta[:d], [of_cut.sum()], [of_cut[j + 1 :].sum() * gaps[j] for j in range(k - 2)]])
+            return (penalty * (theta[:d] ** 2).sum() / 2 - np.log(p).sum()) / len(y), slope / len(y)
+
+        # cuts as a first one and logs of gaps stay in order
+        theta = np.concatenate([np.zeros(d), first[:1], np.log(np.maximum(np.diff(first), 0.1))])
+        (now, slope), damp, h = loss(theta), 1e-3, 1e-5
+        while np.abs(slope).max() > tolerance and damp < 1e12:  # past that no step lowers the loss in floating point
+            bend = np.array([(loss(theta + h * e)[1] - loss(theta - h * e)[1]) / (2 * h) for e in np.eye(len(theta))])
+            while damp < 1e12:
+                step = theta - np.linalg.lstsq((bend + bend.T) / 2 + damp * np.eye(len(theta)), slope, rcond=None)[0]
+                new, new_slope = loss(step)
+                if new <= now:
+                    theta, now, slope, damp = step, new, new_slope, max(damp / 10, 1e-9)
+                    break
+                damp *= 10
         self.beta = theta[:d]
         self.cuts = theta[d] + np.concatenate([[0.0], np.cumsum(np.exp(theta[d + 1 :]))])
         return self
@@ -151,13 +166,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def everyday_words(texts: list[str], lowest: np.ndarray) -> dict[str, float]:
-    """Log ratio of the share of lowest-level texts that hold a word to that of the others, within -3..3."""
-    inside, outside = Counter(), Counter()
-    for text, low in zip(texts, lowest):
-        (inside if low else outside).update({w for s in body_sentences(text) for w in _WORD.findall(s.lower())})
-    n, m = int(lowest.sum()), int((~lowest).sum())
-    return {w: max(-3.0, min(3.0, math.log((inside[w] + 0.5) / (n + 1)) - math.log((outside[w] + 0.5) / (m + 1)))) for w in inside.keys() | outside.keys() if inside[w] + outside[w] > 1}
+def everyday_words(counts: dict[str, tuple[int, int]], low: int, others: int) -> dict[str, float]:
+    """Log ratio of the share of lowest-level texts that hold a word to that of the others, within -3..3.
+
+    ``counts``: texts of either kind that hold a word; ``low`` and ``others``: their numbers.
+    """
+    def ratio(a: int, b: int) -> float:
+        return max(-3.0, min(3.0, math.log((a + 0.5) / (low + 1)) - math.log((b + 0.5) / (others + 1))))
+
+    return {w: ratio(a, b) for w, (a, b) in counts.items() if a + b > 1}
 
 
 def word_rarity(df: DataFrame, text: str) -> dict[str, float]:
@@ -169,23 +186,47 @@ def word_rarity(df: DataFrame, text: str) -> dict[str, float]:
 
 
 def fit_reading_model(df: DataFrame, record: str, text: str, graded: DataFrame, level: str, levels: list[str], sample: int = SAMPLE) -> ReadingModel:
-    """Fit on the texts of ``df`` graded in ``graded`` (record, level); ``levels`` from the easiest to the hardest."""
+    """Fit on the texts of ``df`` graded in ``graded`` (record, level); ``levels`` from the easiest to the hardest.
+
+    The words of one half of the graded texts are judged by the other half, so that no text vouches for itself.
+    """
     model = ReadingModel(levels, word_rarity(df, text))
     marks = graded.select(F.col(record), F.col(level).alias("_level")).filter(F.col("_level").isin(levels)).orderBy(F.xxhash64(record), record, "_level").limit(sample)
-    rows = df.select(record, F.col(text).alias("_text")).join(F.broadcast(marks), record).orderBy(record).collect()
-    rows = [r for r in rows if r["_text"] is not None and body_sentences(r["_text"])]
-    y = np.array([levels.index(r["_level"]) for r in rows], dtype=int)
-    if len(set(y.tolist())) < 2:
-        return model
-    texts = [r["_text"] for r in rows]
-    # the words of one half are graded by the other half, so that no text vouches for itself
-    x = np.zeros((len(texts), len(FEATURES)))
-    half = np.arange(len(texts)) % 2 == 0
-    for side in (half, ~half):
-        model.everyday = everyday_words([t for t, s in zip(texts, side) if not s], (y == 0)[~side])
-        x[side] = model.features([t for t, s in zip(texts, side) if s])[0]
-    model.everyday = everyday_words(texts, y == 0)
-    return model.fit(x, y)
+    number = F.array_position(F.array(*map(F.lit, levels)), F.col("_level")) - 1
+    rows = df.select(record, F.col(text).alias("_text")).join(F.broadcast(marks), record)
+    rows = store(rows.select("_text", number.cast("int").alias("y"), F.pmod(F.xxhash64(record), F.lit(2)).cast("int").alias("half")))
+    spark = df.sparkSession
+    rarity = spark.sparkContext.broadcast(model.rarity)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def known_words(texts: pd.Series) -> pd.Series:
+        known = rarity.value
+        return pd.Series([None if not isinstance(t, str) or not (ss := body_sentences(t)) else sorted({w for s in ss for w in _WORD.findall(s.lower()) if w in known}) for t in texts], dtype=object)
+
+    low = F.col("y") == 0
+    held = rows.select("y", "half", known_words("_text").alias("words")).filter("words is not null")
+    kinds = [(h, is_low) for h in (0, 1) for is_low in (True, False)]
+    tally = [F.count_if((F.col("half") == h) & (low if is_low else ~low)).alias(f"n{h}{int(is_low)}") for h, is_low in kinds]
+    sizes = held.agg(*tally).first()
+    # no more words than the rarity table has
+    words = held.select("y", "half", F.explode("words").alias("w")).groupBy("w").agg(*tally).collect()
+
+    def everyday(halves: tuple[int, ...]) -> dict[str, float]:
+        def of(row, is_low: int) -> int:
+            return sum(row[f"n{h}{is_low}"] for h in halves)
+
+        return everyday_words({r["w"]: (of(r, 1), of(r, 0)) for r in words}, of(sizes, 1), of(sizes, 0))
+
+    others = spark.sparkContext.broadcast([everyday((1,)), everyday((0,))])
+    model.everyday = everyday((0, 1))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def described(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        return pd.Series([features_of(t, rarity.value, others.value[h]) for t, h in zip(texts, halves)], dtype=object)
+
+    data = rows.select("y", described("_text", "half").alias("x")).filter("x is not null").orderBy("y", "x").collect()
+    y = np.array([r["y"] for r in data], dtype=int)
+    return model.fit(np.array([r["x"] for r in data], dtype=float), y) if len(set(y.tolist())) > 1 else model
 
 
 def score_texts(df: DataFrame, text: str, model: ReadingModel) -> DataFrame:
