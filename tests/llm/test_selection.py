@@ -32,7 +32,7 @@ def test_cutoffs_are_the_closest(spark, sizes):
     for src, fraction in targets:
         scores = [s for k, s, _ in rows if k == src and s is not None and s == s]
         if scores:
-            best = min([0, *(sum(x >= c for x in scores) for c in set(scores))], key=lambda k: (abs(k / len(scores) - fraction), k))
+            best = min([0, *(sum(x >= c for x in scores) for c in set(scores))], key=lambda k: (abs(k - fraction * len(scores)), k))
             assert got[src]["kept"] == best and got[src]["total"] == len(scores)
             assert best == (0 if got[src]["cutoff"] is None else sum(x >= got[src]["cutoff"] for x in scores))
     assert got["c"]["kept"] == 0 and got["c"]["cutoff"] is None
@@ -45,7 +45,7 @@ def test_cutoffs_of_nothing_and_of_infinite_scores(spark):
     scores = [float("inf"), float("-inf"), 1e308, -1e308, 5e-324, *(k / 7 for k in range(40))]
     for fraction in (0.0, 0.03, 0.5, 0.97, 1.0):
         got = cutoffs(spark, [("a", s, 0) for s in scores], [("a", fraction)], buckets=3, fine_rows=1)["a"]
-        assert got["kept"] == min(range(len(scores) + 1), key=lambda k: (abs(k / len(scores) - fraction), k))
+        assert got["kept"] == min(range(len(scores) + 1), key=lambda k: (abs(k - fraction * len(scores)), k))
 
 
 @pytest.mark.parametrize("most_hot", [2, 10_000])
