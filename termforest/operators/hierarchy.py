@@ -10,7 +10,7 @@ Input rules, the same for every function here:
 * repeated links count once; other columns of the input are ignored, so their names cannot clash;
 * an empty input gives an empty result;
 * a node with several parents follows its smallest parent id for path, depth and root; its other links still count
-  when cycles are looked for;
+  when cycles are looked for, and ``cycle_id`` then is the smallest id of all cycles that hang together;
 * a self link is a cycle of one node.
 """
 
@@ -80,44 +80,86 @@ def _walks(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return endless, state.select("scope", "node", F.col("lo").alias("cycle_id"))
 
 
-def _closure_cycles(links: DataFrame) -> DataFrame:
-    """Nodes on cycles of a graph with several parents per node, by squaring reachability over its cyclic core.
+def _spread_smallest(arcs: DataFrame, start: str, end: str) -> DataFrame:
+    """(scope, node, low): the smallest id of the ``arcs`` from which a node can be reached along them, itself included.
 
-    ``cycle_id`` is the smallest id of the strongly connected set. Only scopes with such nodes come here.
+    What reaches a node's ``low`` reaches the node too, so each round also follows that pointer and doubles the way.
     """
-    edge = cut(links.select("scope", F.col("child").alias("a"), F.col("parent").alias("b")))
-    size = edge.count()
-    while size:  # peel links that end or begin nowhere; no cycle holds them
-        starts, ends = edge.select("scope", "a").distinct(), edge.select("scope", "b").distinct()
-        edge = cut(edge.join(starts.withColumnRenamed("a", "b"), ["scope", "b"], "left_semi").join(ends.withColumnRenamed("b", "a"), ["scope", "a"], "left_semi").select("scope", "a", "b"))
-        now = edge.count()
-        if now == size:
-            break
-        size = now
-    reach = edge
-    while size:
-        far = reach.select("scope", F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = cut(reach.unionByName(reach.join(far, ["scope", "b"]).select("scope", "a", F.col("c").alias("b"))).distinct())
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    back = reach.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))
-    return reach.join(back, ["scope", "a", "b"]).groupBy("scope", F.col("a").alias("node")).agg(F.min("b").alias("cycle_id"))
-
-
-def _all_cycles(links: DataFrame, pointers: DataFrame, loops: DataFrame) -> DataFrame:
-    several = pointers.filter("n_parents > 1").select("scope").distinct()
-    if not several.limit(1).count():
+    ways = cut(arcs.select("scope", F.col(start).alias("a"), F.col(end).alias("b")).distinct())
+    state = cut(ways.select("scope", F.col("a").alias("node")).union(ways.select("scope", "b")).distinct().withColumn("low", F.col("node")))
+    while True:
+        near = ways.join(state.select("scope", F.col("node").alias("a"), F.col("low").alias("m")), ["scope", "a"]).groupBy("scope", F.col("b").alias("node")).agg(F.min("m").alias("m"))
+        step = state.join(near, ["scope", "node"], "left").select("scope", "node", "low", F.least("low", F.coalesce("m", "low")).alias("new"))
+        far = state.select("scope", F.col("node").alias("new"), F.col("low").alias("far"))
+        step = cut(step.join(far, ["scope", "new"]).select("scope", "node", "low", F.least("new", "far").alias("new")))
+        moved = step.filter("new < low").limit(1).count()
+        state = step.select("scope", "node", F.col("new").alias("low"))
+        if not moved:
+            return state
+
+
+def _strong_arcs(arcs: DataFrame) -> DataFrame:
+    """The rows of ``arcs`` (scope, a, b and more) within a strongly connected set, with its smallest id as ``set_id``.
+
+    All nodes reached from the smallest id that reaches them form a class; those of the class that reach that id in turn
+    are its set. Sets found are taken out, with all arcs that join two classes, and the rest is asked again.
+    """
+    rest, found = cut(arcs), None
+    while rest.limit(1).count():
+        low = cut(_spread_smallest(rest, "a", "b"))
+        of = lambda end: low.select("scope", F.col("node").alias(end), F.col("low").alias(f"_{end}"))
+        inner = cut(rest.join(of("a"), ["scope", "a"]).join(of("b"), ["scope", "b"]).filter("_a = _b").withColumn("class", F.col("_a")).drop("_a", "_b"))
+        # within its class the smallest id that a node reaches is the class's own, or the node is not in its set
+        back = cut(_spread_smallest(inner.select(F.struct("scope", "class").alias("scope"), "a", "b"), "b", "a"))
+        core = cut(back.filter(F.col("low") == F.col("scope.class")).select("scope.scope", "scope.class", "node"))
+        side = lambda end, how: core.select("scope", "class", F.col("node").alias(end), *([F.lit(True).alias(f"_{end}")] if how else []))
+        flagged = cut(inner.join(side("a", True), ["scope", "class", "a"], "left").join(side("b", True), ["scope", "class", "b"], "left"))
+        hit = flagged.filter("_a and _b").drop("_a", "_b").withColumnRenamed("class", "set_id")
+        found = hit if found is None else found.unionByName(hit)
+        rest = flagged.filter("_a is null and _b is null").drop("_a", "_b", "class")
+    return found if found is not None else rest.withColumn("set_id", F.col("a"))
+
+
+def _ways_up(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts`` (scope, node, set_id) with all nodes that their pointers lead to, doubling the way each round."""
+    marked, jump = cut(starts.distinct()), cut(pointers.select("scope", "node", "up"))
+    while jump.limit(1).count():
+        marked = cut(marked.unionByName(marked.join(jump, ["scope", "node"]).select("scope", F.col("up").alias("node"), "set_id")).distinct())
+        far = jump.select("scope", F.col("node").alias("up"), F.col("up").alias("up2"))
+        jump = cut(jump.join(far, ["scope", "up"]).select("scope", "node", F.col("up2").alias("up")))
+    return marked
+
+
+def _all_cycles(links: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(scope, node, cycle_id): nodes on cycles, with the smallest id of their strongly connected set.
+
+    Nodes with one parent form chains, which pointer doubling leads to their first node with several parents, to a root,
+    or round a cycle of such nodes alone. Between nodes with several parents the chains count as single arcs, and only
+    among these arcs strongly connected sets are looked for: the work grows with their number, not with that of pairs.
+    """
+    single = cut(pointers.filter("n_parents = 1").select("scope", "node", "up"))
+    joints = cut(pointers.filter("n_parents > 1").select("scope", "node"))
+    endless, loops = _walks(single)
+    if not joints.limit(1).count():
         return loops
-    return loops.join(several, "scope", "left_anti").unionByName(_closure_cycles(links.join(several, "scope", "left_semi")))
+    chained = cut(single.join(endless, ["scope", "node"], "left_anti"))
+    ends = cut(_climb(chained, joints.unionByName(_roots(links)), False).select("scope", F.col("node").alias("parent"), F.col("root").alias("b")))
+    into = links.withColumnRenamed("child", "a").join(joints.withColumnRenamed("node", "a"), ["scope", "a"])
+    arcs = into.join(ends, ["scope", "parent"]).join(joints.withColumnRenamed("node", "b"), ["scope", "b"], "left_semi")
+    strong = cut(_strong_arcs(arcs.select("scope", "a", "b", "parent")))
+    if not strong.limit(1).count():
+        return loops
+    sets = strong.select("scope", F.col("b").alias("root"), "set_id").distinct()
+    below = ends.select("scope", F.col("parent").alias("node"), F.col("b").alias("root")).join(sets, ["scope", "root"], "left_semi")
+    starts = strong.select("scope", F.col("parent").alias("node"), "set_id").unionByName(strong.select("scope", F.col("a").alias("node"), "set_id"))
+    on = cut(_ways_up(chained.join(below, ["scope", "node"], "left_semi"), starts).unionByName(strong.select("scope", F.col("b").alias("node"), "set_id")).distinct())
+    least = on.groupBy("scope", "set_id").agg(F.min("node").alias("cycle_id"))
+    return loops.unionByName(on.join(least, ["scope", "set_id"]).select("scope", "node", "cycle_id"))
 
 
-def find_cycles(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes that lead into a cycle by their first parents: scope, node; nodes on cycles: scope, node, cycle_id)."""
-    pointers = cut(_primary(links))
-    endless, loops = _walks(pointers)
-    return endless, _all_cycles(links, pointers, loops)
+def find_cycles(links: DataFrame) -> DataFrame:
+    """(scope, node, cycle_id) of the nodes on cycles."""
+    return _all_cycles(links, cut(_primary(links)))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -173,7 +215,7 @@ def resolve_hierarchy(links: DataFrame) -> Hierarchy:
     nodes = found.join(entry, ["scope", "root"], "left").select(
         "scope", "node", F.coalesce("cycle_id", "root").alias("root"), "depth", "path", F.when(F.col("cycle_id").isNull(), "tree").otherwise("endless").alias("state")
     )
-    return Hierarchy(nodes, _all_cycles(links, pointers, loops.select("scope", "node", "cycle_id")), loops)
+    return Hierarchy(nodes, _all_cycles(links, pointers), loops)
 
 
 def _steps(nodes: DataFrame) -> DataFrame:

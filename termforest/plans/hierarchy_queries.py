@@ -15,8 +15,7 @@ def _accepted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Concepts on a cycle of the accepted links of a version."""
-    _, cycles = find_cycles(_accepted(spark, folder))
-    return cycles.select(F.col("scope").alias("taxonomy_version_id"), "cycle_id", F.col("node").alias("concept_id"))
+    return find_cycles(_accepted(spark, folder)).select(F.col("scope").alias("taxonomy_version_id"), "cycle_id", F.col("node").alias("concept_id"))
 
 
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,34 +40,25 @@ links AS (
     AND taxonomy_version_id IS NOT NULL),
 ups AS (SELECT v, c, min(p) AS p FROM links GROUP BY v, c)"""
 
-_TREE = (
-    """WITH RECURSIVE """
-    + _LINKS
-    + """,
-roots AS (SELECT DISTINCT v, p AS n FROM links WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.v = links.v AND k.c = links.p)),
-tree AS (
-  SELECT v, n, n AS root, 0 AS depth, [n] AS path FROM roots
+# every way up along first parents, until it ends or would come back to itself
+_UP = f"""WITH RECURSIVE {_LINKS},
+walk AS (
+  SELECT v, c AS start, c AS cur, [c] AS path FROM ups
   UNION ALL
-  SELECT t.v, u.c, t.root, t.depth + 1, list_append(t.path, u.c) FROM tree t JOIN ups u ON u.v = t.v AND u.p = t.n)
+  SELECT w.v, w.start, u.p, list_append(w.path, u.p) FROM walk w JOIN ups u ON u.v = w.v AND u.c = w.cur WHERE NOT list_contains(w.path, u.p))
 """
-)
 
 ORACLE = {
-    "p2_found": "WITH RECURSIVE "
-    + _LINKS
+    # all links: a node is on a cycle if a way leads back to it, and hangs together with what lies on such ways
+    "p2_found": f"""WITH RECURSIVE {_LINKS},
+reach AS (SELECT v, c AS a, p AS b FROM links UNION SELECT r.v, r.a, l.p FROM reach r JOIN links l ON l.v = r.v AND l.c = r.b)
+SELECT x.v AS taxonomy_version_id, min(x.b) AS cycle_id, x.a AS concept_id FROM reach x JOIN reach y ON y.v = x.v AND y.a = x.b AND y.b = x.a GROUP BY x.v, x.a""",
+    "p2_paths": _UP
     + """,
-walk AS (
-  SELECT v, c AS start, p AS far, least(c, p) AS lo FROM ups
-  UNION
-  SELECT w.v, w.start, u.p, least(w.lo, u.p) FROM walk w JOIN ups u ON u.v = w.v AND u.c = w.far WHERE w.far <> w.start)
-SELECT v AS taxonomy_version_id, min(lo) AS cycle_id, start AS concept_id FROM walk WHERE far = start GROUP BY v, start""",
-    "p2_paths": _TREE
-    + """
-SELECT v AS taxonomy_version_id, n AS concept_id, root AS root_id, CAST(depth AS INT) AS depth, array_to_string(path, '/') AS path, 'tree' AS state FROM tree
-UNION ALL
-SELECT v, c, NULL, -1, '', 'endless' FROM ups WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.v = ups.v AND t.n = ups.c)""",
-    "p2_descendants": _TREE
-    + """
-SELECT v AS taxonomy_version_id, a AS ancestor_id, n AS concept_id, CAST(depth + 1 - i AS INT) AS distance
-FROM (SELECT v, n, depth, unnest(path) AS a, generate_subscripts(path, 1) AS i FROM tree) WHERE i <= depth""",
+e AS (SELECT w.*, u.p AS nxt FROM walk w LEFT JOIN ups u ON u.v = w.v AND u.c = w.cur WHERE u.p IS NULL OR list_contains(w.path, u.p)),
+k AS (SELECT *, coalesce(list_position(path, nxt), len(path)) AS k FROM e)
+SELECT v AS taxonomy_version_id, start AS concept_id, CASE WHEN nxt IS NULL THEN cur ELSE list_min(path[k:]) END AS root_id, CAST(k - 1 AS INT) AS depth, array_to_string(list_reverse(path[1:k]), '/') AS path,
+  CASE WHEN nxt IS NULL THEN 'tree' ELSE 'endless' END AS state FROM k
+UNION ALL SELECT DISTINCT v, p, p, 0, p, 'tree' FROM links WHERE NOT EXISTS (SELECT 1 FROM links x WHERE x.v = links.v AND x.c = links.p)""",
+    "p2_descendants": _UP + "SELECT v AS taxonomy_version_id, cur AS ancestor_id, start AS concept_id, CAST(len(path) - 1 AS INT) AS distance FROM walk WHERE len(path) > 1",
 }

@@ -32,7 +32,7 @@ def test_hierarchy_of_trees_cycles_and_nulls(spark):
 
 
 def test_hierarchy_with_several_parents_and_of_nothing(spark):
-    _, cycles = find_cycles(links(spark, [("a", "b"), ("b", "c"), ("z", "b"), ("c", "z"), ("d", "e")]))
+    cycles = find_cycles(links(spark, [("a", "b"), ("b", "c"), ("z", "b"), ("c", "z"), ("d", "e")]))
     assert {(r["node"], r["cycle_id"]) for r in cycles.collect()} == {("b", "b"), ("c", "b"), ("z", "b")}
     none = resolve_hierarchy(links(spark, [("a", "b")]).limit(0))
     assert none.nodes.count() == 0 and none.cycles.count() == 0
@@ -41,7 +41,7 @@ def test_hierarchy_with_several_parents_and_of_nothing(spark):
 def test_cycles_of_random_functions(spark):
     rnd = random.Random(1)
     up = {i: rnd.randrange(400) for i in range(300)}
-    _, cycles = find_cycles(links(spark, [(f"{p:03d}", f"{c:03d}") for c, p in up.items()]))
+    cycles = find_cycles(links(spark, [(f"{p:03d}", f"{c:03d}") for c, p in up.items()]))
     want = set()
     for i in up:
         seen, n = [], i
@@ -53,6 +53,28 @@ def test_cycles_of_random_functions(spark):
     assert {(r["node"], r["cycle_id"]) for r in cycles.collect()} == want
 
 
+def test_cycles_of_random_graphs(spark):
+    for seed in range(2):
+        rnd = random.Random(seed)
+        size = (60, 90)[seed]
+        pairs = {(rnd.randrange(size), rnd.randrange(size)) for _ in range(int(size * 1.05))} | {(100 + k, 101 + k) for k in range(40)} | {(140, 100), (120, 110), (105, 99), (99, 98), (98, 105)}
+        out = {}
+        for p, c in pairs:
+            out.setdefault(c, set()).add(p)
+        reach = {}
+        for n in {x for pair in pairs for x in pair}:
+            seen, todo = set(), list(out.get(n, ()))
+            while todo:
+                m = todo.pop()
+                if m not in seen:
+                    seen.add(m)
+                    todo += out.get(m, ())
+            reach[n] = seen
+        want = {(f"{n:03d}", f"{min(m for m in reach[n] if n in reach[m]):03d}") for n in reach if n in reach[n]}
+        got = find_cycles(links(spark, [(f"{p:03d}", f"{c:03d}") for p, c in pairs])).collect()
+        assert sorted((r["node"], r["cycle_id"]) for r in got) == sorted(want) and len(want) > 40
+
+
 def edges(spark, rows):
     return spark.createDataFrame([("g", *r) for r in rows], "grp string, parent string, child string, score double")
 
