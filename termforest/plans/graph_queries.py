@@ -255,7 +255,6 @@ QUERIES = {f.__name__: f for f in (
 _NUM = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
 _EDGES = "e AS MATERIALIZED (SELECT taxonomy_version_id AS v, parent_concept_id AS p, child_concept_id AS c, max(" + _NUM.format("final_score") + ") AS score FROM taxonomy_edge_candidates WHERE {0} AND parent_concept_id IS NOT NULL AND child_concept_id IS NOT NULL GROUP BY ALL)"
 _ACC = _EDGES.format("decision = 'accepted'")
-_TREE = _EDGES.format("decision = 'accepted' AND parent_concept_id < child_concept_id")
 _NODES = f"nodes AS MATERIALIZED (SELECT v.id AS v, c.id AS n, canonical, {S.normal_lang('coalesce(c.lang, chr(32))')} AS lang FROM taxonomy_versions v JOIN concepts c ON c.collection_id = v.collection_id)"
 _UND = "l AS MATERIALIZED (SELECT v, p AS a, c AS b FROM e UNION SELECT v, c, p FROM e)"
 _REACH = "reach AS (SELECT DISTINCT v, a AS n, a AS m FROM l UNION SELECT r.v, r.n, l.b FROM reach r JOIN l ON l.v = r.v AND l.a = r.m)"
@@ -265,6 +264,11 @@ _WALK = """walk AS (SELECT DISTINCT v, p AS root, p AS n, 0 AS depth, [p] AS pat
   UNION ALL SELECT w.v, w.root, e.c, w.depth + 1, list_append(w.path, e.c) FROM walk w JOIN e ON e.v = w.v AND e.p = w.n WHERE NOT list_contains(w.path, e.c))"""
 
 
+# depths by breadth first, a node once
+_NEAR = """d(v, n, depth) USING KEY (v, n) AS (SELECT DISTINCT v, p, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM e k WHERE k.v = e.v AND k.c = e.p)
+  UNION SELECT DISTINCT e.v, e.c, d.depth + 1 FROM d JOIN e ON e.v = d.v AND e.p = d.n LEFT JOIN recurring.d AS old ON old.v = e.v AND old.n = e.c WHERE old.n IS NULL)"""
+
+
 def _validity(t: str, df: str) -> tuple[str, str]:
     w = S.tokens(t)
     verb = f"len(list_filter({w}, lambda k: NOT regexp_matches(k, '(?:{'|'.join(L.VERBISH_SUFFIXES)})$'))) = 0"
@@ -321,10 +325,10 @@ SELECT id, coalesce(a.t, b.t, 0.64::DOUBLE) AS threshold FROM c LEFT JOIN a ON a
     "hierarchy_roots": f"WITH {_ACC} SELECT DISTINCT v AS taxonomy_version_id, p AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e k WHERE k.v = e.v AND k.c = e.p)",
     "leaf_edges": f"WITH {_ACC} SELECT v AS taxonomy_version_id, p AS parent, c AS child FROM e WHERE NOT EXISTS (SELECT 1 FROM e k WHERE k.v = e.v AND k.p = e.c)",
     "orphan_concepts": f"WITH {_ACC}, {_NODES} SELECT DISTINCT v AS taxonomy_version_id, n AS node FROM nodes WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.v = nodes.v AND (e.p = nodes.n OR e.c = nodes.n))",
-    "bfs_depths": f"WITH RECURSIVE {_TREE}, {_WALK} SELECT v AS taxonomy_version_id, n AS node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY v, n",
-    "depth_limited_edges": f"WITH RECURSIVE {_TREE}, {_WALK}, d AS (SELECT v, n, min(depth) AS depth FROM walk GROUP BY v, n) SELECT e.v AS taxonomy_version_id, e.p AS parent, e.c AS child FROM e JOIN d ON d.v = e.v AND d.n = e.c WHERE depth <= 3",
-    "tree_paths": f"WITH RECURSIVE {_TREE}, {_WALK} SELECT v AS taxonomy_version_id, root, n AS node, depth, array_to_string(path, '/') AS path FROM walk",
-    "tree_stats": f"WITH RECURSIVE {_TREE}, {_WALK} SELECT v AS taxonomy_version_id, count(*) AS n_nodes, CAST(max(depth) + 1 AS INT) AS max_depth FROM walk GROUP BY v",
+    "bfs_depths": f"WITH RECURSIVE {_ACC}, {_NEAR} SELECT v AS taxonomy_version_id, n AS node, CAST(depth AS INT) AS depth FROM d",
+    "depth_limited_edges": f"WITH RECURSIVE {_ACC}, {_NEAR} SELECT e.v AS taxonomy_version_id, e.p AS parent, e.c AS child FROM e LEFT JOIN d ON d.v = e.v AND d.n = e.c WHERE depth IS NULL OR depth <= 3",
+    "tree_paths": f"WITH RECURSIVE {_ACC}, {_WALK} SELECT v AS taxonomy_version_id, root, n AS node, depth, array_to_string(path, '/') AS path FROM walk",
+    "tree_stats": f"WITH RECURSIVE {_ACC}, {_WALK} SELECT v AS taxonomy_version_id, count(*) AS n_nodes, CAST(max(depth) + 1 AS INT) AS max_depth FROM walk GROUP BY v",
     "graph_quality": _COMP + f""", {_NODES}, n AS (SELECT v, count(*) AS n FROM nodes GROUP BY v), k AS (SELECT v, count(*) AS n_edges FROM e GROUP BY v),
 h AS (SELECT v, max(c)::DOUBLE / median(c) AS hub FROM (SELECT v, p, count(*) AS c FROM e GROUP BY v, p) GROUP BY v),
 s AS (SELECT v, sum(c) AS linked, count(*) AS comps, max(c) AS largest FROM (SELECT v, component, count(*) AS c FROM parts GROUP BY ALL) GROUP BY v),
@@ -333,7 +337,7 @@ z AS (SELECT p.v, count(*) AS noise FROM parts p JOIN nodes d ON d.v = p.v AND d
 r AS (SELECT n.v, n.n, coalesce(n_edges, 0) AS n_edges, coalesce(comps, 0) AS n_components, round(coalesce(n_edges, 0)::DOUBLE / n.n, 6) AS edge_density, round(coalesce(largest::DOUBLE / n.n, 0), 6) AS largest_component_ratio, round(coalesce(hub, 0), 6) AS hubness, round(coalesce(noise::DOUBLE / linked, 0), 6) AS lexical_noise_rate
   FROM n LEFT JOIN k ON k.v = n.v LEFT JOIN h ON h.v = n.v LEFT JOIN s ON s.v = n.v LEFT JOIN z ON z.v = n.v)
 SELECT v AS taxonomy_version_id, n, n_edges, n_components, edge_density, largest_component_ratio, hubness, lexical_noise_rate, concat_ws(',', CASE WHEN edge_density < 0.2 THEN 'edge_density' END, CASE WHEN largest_component_ratio < 0.4 THEN 'largest_component_ratio' END, CASE WHEN hubness > 6 THEN 'hubness' END, CASE WHEN lexical_noise_rate > 0.05 THEN 'lexical_noise_rate' END) AS violations FROM r""",
-    "structural_report": f"""WITH RECURSIVE {_TREE}, {_NODES}, {_WALK}, d AS (SELECT v, n, min(depth) AS depth FROM walk GROUP BY v, n),
+    "structural_report": f"""WITH RECURSIVE {_ACC}, {_NODES}, {_NEAR},
 f AS (SELECT nodes.v, lang, coalesce(o, 0) AS o, coalesce(i, 0) AS i, depth FROM nodes LEFT JOIN (SELECT v, p AS n, count(*) AS o FROM e GROUP BY ALL) x ON x.v = nodes.v AND x.n = nodes.n
   LEFT JOIN (SELECT v, c AS n, count(*) AS i FROM e GROUP BY ALL) y ON y.v = nodes.v AND y.n = nodes.n LEFT JOIN d ON d.v = nodes.v AND d.n = nodes.n)
 SELECT v AS taxonomy_version_id, coalesce(lang, 'all') AS lang, count(*) AS n_nodes, count(*) FILTER (WHERE o > 0 AND i = 0) AS n_roots, count(*) FILTER (WHERE o = 0 AND i > 0) AS n_leaves, count(*) FILTER (WHERE o = 0 AND i = 0) AS n_orphans,
