@@ -24,8 +24,8 @@ HOT_ROWS = 100_000
 MOST_HOT = 10_000
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner equi join of ``rows``, in which some keys may be very frequent, with ``lookup``, in which they are not.
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """Equi join (inner or left) of ``rows``, in which some keys may be very frequent, with ``lookup``, in which they are not.
 
     Keys with more than ``hot_rows`` rows and more than a 1/``MOST_HOT`` part of all are spread over ``HOT_PARTS`` tasks
     by the columns ``spread_by``; there are fewer than ``MOST_HOT`` such keys by arithmetic, so their list is broadcast.
@@ -38,4 +38,4 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread_by:
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_hot")
     right = lookup.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
-    return left.join(right, [*keys, "_part"]).drop("_part")
+    return left.join(right, [*keys, "_part"], how).drop("_part")

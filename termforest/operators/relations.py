@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforest.functions import text as X
+from termforest.operators.joins import spread_join
 from termforest.operators.terms import occurrences, phrase_hits
 from termforest.session import cut
 
 _P = r"([\p{L}\p{N}_\s]+?)"
 _PS = r"([\p{L}\p{N}_\s,]+?)"
-# fixed values: (language, literal that must occur, pattern, whether the parent comes first)
+# fixed values: (language, pattern, whether the parent comes first)
 PATTERNS = (
-    ("en", "such", _P + r"\s+such\s+as\s+" + _PS + r"(?:\.|,\s*and\s|\s+and\s)", True),
-    ("en", "and other", _PS + r"\s+and\s+other\s+" + _P + r"(?:\.|,|;)", False),
-    ("en", "including", _P + r"\s*,?\s*including\s+" + _PS + r"(?:\.|,\s*and\s|\s+and\s)", True),
-    ("en", "especially", _P + r"\s*,?\s*especially\s+" + _PS + r"(?:\.|,)", True),
-    ("en", "is a", _P + r"\s+is\s+a\s+(?:kind|type|form|sort)\s+of\s+" + _P + r"(?:\.|,)", False),
-    ("en", "is one of", _P + r"\s+is\s+one\s+of\s+the\s+" + _P + r"(?:\.|,)", False),
-    ("en", "belongs", _P + r"\s+belongs\s+to\s+the\s+" + _P + r"(?:\.|,)", False),
-    ("ru", "как", _P + r"\s*,?\s*такие?\s+как\s+" + _PS + r"(?:\.|,)", True),
-    ("ru", "друг", _PS + r"\s+и\s+други[еих]\s+" + _P + r"(?:\.|,)", False),
-    ("ru", "частности", _P + r"\s*,?\s*в\s+частности\s+" + _PS + r"(?:\.|,)", True),
-    ("ru", "например", _P + r"\s*,?\s*например\s+" + _PS + r"(?:\.|,)", True),
-    ("ru", "является", _P + r"\s+является\s+(?:видом|разновидностью|типом)\s+" + _P + r"(?:\.|,)", False),
-    ("ru", "одним из", _P + r"\s+является\s+одним\s+из\s+" + _P + r"(?:\.|,)", False),
-    ("ru", "относится", _P + r"\s+относится\s+к\s+(?:классу|типу)\s+" + _P + r"(?:\.|,)", False),
-    ("kk", "мысалы", _P + r"\s*,?\s*мысалы\s+" + _PS + r"(?:\.|,)", True),
-    ("kk", "айтқанда", _P + r"\s*,?\s*атап\s+айтқанда\s+" + _PS + r"(?:\.|,)", True),
-    ("kk", "сияқты", _P + r"\s+сияқты\s+" + _PS + r"(?:\.|,)", True),
-    ("kk", "және басқа", _P + r"\s+және\s+басқа\s+" + _P + r"(?:\.|,)", False),
-    ("kk", "түрі", _P + r"\s+" + _P + r"\s+түрі\s+болып\s+табылады(?:\.|,)", False),
-    ("kk", "қатарына", _P + r"\s+" + _P + r"\s+қатарына\s+жатады(?:\.|,)", False),
+    ("en", _P + r"\s+such\s+as\s+" + _PS + r"(?:\.|,\s*and\s|\s+and\s)", True),
+    ("en", _PS + r"\s+and\s+other\s+" + _P + r"(?:\.|,|;)", False),
+    ("en", _P + r"\s*,?\s*including\s+" + _PS + r"(?:\.|,\s*and\s|\s+and\s)", True),
+    ("en", _P + r"\s*,?\s*especially\s+" + _PS + r"(?:\.|,)", True),
+    ("en", _P + r"\s+is\s+a\s+(?:kind|type|form|sort)\s+of\s+" + _P + r"(?:\.|,)", False),
+    ("en", _P + r"\s+is\s+one\s+of\s+the\s+" + _P + r"(?:\.|,)", False),
+    ("en", _P + r"\s+belongs\s+to\s+the\s+" + _P + r"(?:\.|,)", False),
+    ("ru", _P + r"\s*,?\s*такие?\s+как\s+" + _PS + r"(?:\.|,)", True),
+    ("ru", _PS + r"\s+и\s+други[еих]\s+" + _P + r"(?:\.|,)", False),
+    ("ru", _P + r"\s*,?\s*в\s+частности\s+" + _PS + r"(?:\.|,)", True),
+    ("ru", _P + r"\s*,?\s*например\s+" + _PS + r"(?:\.|,)", True),
+    ("ru", _P + r"\s+является\s+(?:видом|разновидностью|типом)\s+" + _P + r"(?:\.|,)", False),
+    ("ru", _P + r"\s+является\s+одним\s+из\s+" + _P + r"(?:\.|,)", False),
+    ("ru", _P + r"\s+относится\s+к\s+(?:классу|типу)\s+" + _P + r"(?:\.|,)", False),
+    ("kk", _P + r"\s*,?\s*мысалы\s+" + _PS + r"(?:\.|,)", True),
+    ("kk", _P + r"\s*,?\s*атап\s+айтқанда\s+" + _PS + r"(?:\.|,)", True),
+    ("kk", _P + r"\s+сияқты\s+" + _PS + r"(?:\.|,)", True),
+    ("kk", _P + r"\s+және\s+басқа\s+" + _P + r"(?:\.|,)", False),
+    ("kk", _P + r"\s+" + _P + r"\s+түрі\s+болып\s+табылады(?:\.|,)", False),
+    ("kk", _P + r"\s+" + _P + r"\s+қатарына\s+жатады(?:\.|,)", False),
 )
 # fixed values: phrases that announce a relation
 TRIGGERS = {
@@ -44,10 +45,16 @@ TRIGGERS = {
 }
 
 
+def _announcement(pattern: str) -> str:
+    """The words of a pattern between its two groups, or behind them: without these it cannot match."""
+    words = pattern.replace(_P, " ").replace(_PS, " ").split("(?:\\.|")[0]
+    return re.sub(r"^(?:\\s[*+]|,\?|\s)+|(?:\\s[*+]|\s)+$", "", words)
+
+
 def hearst_matches(chunks: DataFrame) -> DataFrame:
     """REX-01: (chunk_id, document_id, lang, pattern, parent_text, child_text) of every pattern hit.
 
-    A pattern runs only over texts with its literal; the rest is skipped without a regex.
+    A pattern runs only over texts that hold its own words; the rest is passed over by one linear search.
     """
     text = F.lower("text")
     nothing = F.array().cast("array<struct<pattern:int,parent_text:string,child_text:string>>")
@@ -61,8 +68,8 @@ def hearst_matches(chunks: DataFrame) -> DataFrame:
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(number).alias("pattern"), group(m, p).alias("parent_text"), group(m, c).alias("child_text")))
 
     hits = [
-        F.when((F.col("lang") == lang) & text.contains(literal), hits_of(k, pattern, first)).otherwise(nothing)
-        for k, (lang, literal, pattern, first) in enumerate(PATTERNS)
+        F.when((F.col("lang") == lang) & text.rlike(_announcement(pattern)), hits_of(k, pattern, first)).otherwise(nothing)
+        for k, (lang, pattern, first) in enumerate(PATTERNS)
     ]
     return chunks.select("chunk_id", "document_id", "lang", F.explode(F.concat(*hits)).alias("m")).select("chunk_id", "document_id", "lang", "m.*")
 
@@ -75,16 +82,27 @@ def hearst_pairs(chunks: DataFrame) -> DataFrame:
     return pairs.filter("parent <> child").groupBy("lang", "parent", "child").agg(F.count("*").alias("support"), F.count_distinct("document_id").alias("docs"))
 
 
-def closest_labels(phrases: DataFrame, labels: DataFrame, least: float = 0.62) -> DataFrame:
-    """TXT-24: (phrase, label, overlap): the label with the best token overlap of each phrase; ties to the smaller label.
+def closest_labels(phrases: DataFrame, labels: DataFrame, least: float = 0.62, least_overlap: float = 0.6, least_ratio: float = 0.72) -> DataFrame:
+    """TXT-24: (phrase, label, overlap): the closest label of each phrase; ties to the smaller label.
 
-    An equality join over tokens finds the labels that share one; nothing is compared that shares none.
+    That is the label of the best token overlap, if it reaches ``least``; else, among labels that hold the phrase or stand
+    in it, both of five characters or more, with ``least_overlap`` of the phrase's tokens, the best by that share and the
+    ratio of equal characters, which is that of the shorter one where it stands in the longer. Either way the two share a
+    token, so an equality join over tokens finds all there are.
     """
     p = phrases.select("phrase").distinct().select("phrase", F.array_distinct(X.tokens("phrase")).alias("pt"))
     c = labels.select("label").distinct().select("label", F.array_distinct(X.tokens("label")).alias("lt"))
     shared = p.select("phrase", F.size("pt").alias("np"), F.explode("pt").alias("t")).join(c.select("label", F.size("lt").alias("nl"), F.explode("lt").alias("t")), "t")
-    scored = shared.groupBy("phrase", "label", "np", "nl").agg(F.count("*").alias("k")).withColumn("overlap", F.col("k") / (F.col("np") + F.col("nl") - F.col("k"))).filter(F.col("overlap") >= least)
-    return scored.groupBy("phrase").agg(F.min_by(F.struct("label", "overlap"), F.struct(-F.col("overlap"), "label")).alias("b")).select("phrase", "b.label", "b.overlap")
+    scored = shared.groupBy("phrase", "label", "np", "nl").agg(F.count("*").alias("k")).withColumn("overlap", F.col("k") / (F.col("np") + F.col("nl") - F.col("k")))
+    inside = F.col("phrase").contains(F.col("label")) | F.col("label").contains(F.col("phrase"))
+    sizes = (F.length("phrase"), F.length("label"))
+    second = (F.length("phrase") >= 5) & (F.length("label") >= 5) & inside & (F.col("k") / F.col("np") >= least_overlap)
+    options = scored.filter((F.col("overlap") >= least) | second).withColumn("first", F.col("overlap") >= least)
+    judged = options.filter("first").withColumn("value", F.col("overlap")).unionByName(
+        options.filter(~F.col("first")).withColumn("ratio", 2 * F.least(*sizes) / (sizes[0] + sizes[1])).filter(F.col("ratio") >= least_ratio).withColumn("value", F.col("k") / F.col("np") + 0.35 * F.col("ratio")).drop("ratio")
+    )
+    best = F.min_by(F.struct("label", "overlap"), F.struct(~F.col("first"), -F.col("value"), "label"))
+    return judged.groupBy("phrase").agg(best.alias("b")).select("phrase", "b.label", "b.overlap")
 
 
 def concept_relations(chunks: DataFrame, concepts: DataFrame, soft: bool = False) -> DataFrame:
@@ -160,26 +178,57 @@ def evidence_snippets(chunks: DataFrame, labels: DataFrame, k: int = 5, longest:
 
 
 def directional_evidence(pairs: DataFrame, snippets: DataFrame) -> DataFrame:
-    """REX-08: (parent, child, evidence): how far the snippets of both labels state the direction.
+    """REX-08: (parent, child, hits, contra, evidence): how far the snippets of both labels state the direction.
 
-    The ratio is that of the documents with snippets of both labels to those with snippets of either.
-
-    Patterns hold the labels of the row itself, so they are built as a column.
+    A snippet with both labels counts once: as a hit if it states the pair in one of the published forms, else as a
+    contradiction if the published words stand beside a label set apart by blanks. The ratio is that of the documents
+    with snippets of both labels to those with snippets of either. Each pair meets the snippets of its parent and of its
+    child one after the other; only counts and document ids go on, so no text moves with the pairs.
     """
     p, c = F.lower("parent"), F.lower("child")
 
-    def quoted(x):
+    def quoted(x: Column) -> Column:
         return F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), x, F.lit(r"\E(?![\p{L}\p{N}_])"))
 
-    gap = ".{0,80}"
+    # fixed values: the forms that state the direction
     forms = [(p, "such as", c), (c, "is (?:a|an|one of)", p), (c, "является", p), (p, "такие как", c), (p, "мысалы", c)]
-    s = cut(snippets.select("term", "document_id", F.lower("snippet").alias("s")))  # both sides read it
-    side = lambda label, own: pairs.join(s.withColumnRenamed("term", "_t"), F.col("_t") == label).withColumn("own", F.lit(own))
-    rows = side(p, True).unionByName(side(c, False))
-    both = F.col("s").contains(p) & F.col("s").contains(c)
-    stated = reduce(lambda a, b: a + b, [F.regexp_like("s", F.concat(F.lit("(?s)"), quoted(a), F.lit(gap + w + gap), quoted(b))).cast("int") for a, w, b in forms])
-    against = reduce(lambda a, b: a + b, [F.regexp_like("s", F.concat(F.lit("(?s)"), quoted(b), F.lit(gap + w + gap), quoted(a))).cast("int") for a, w, b in forms])
-    of_parent, of_child = (F.collect_set(F.when(x, F.col("document_id"))) for x in (F.col("own"), ~F.col("own")))
-    agg = rows.groupBy("parent", "child").agg(F.sum(F.when(both, stated).otherwise(0)).alias("hits"), F.sum(F.when(both, against).otherwise(0)).alias("contra"), (F.size(F.array_intersect(of_parent, of_child)) / F.greatest(F.lit(1), F.size(F.array_union(of_parent, of_child)))).alias("ratio"))
-    value = 0.60 * F.least(F.lit(1.0), F.col("hits") / 3) + 0.40 * F.col("ratio") - F.least(F.lit(0.35), 0.12 * F.col("contra"))
-    return agg.select("parent", "child", "hits", "contra", F.greatest(F.lit(0.0), value).alias("evidence"))
+    gap, start, stop = ".{0,80}", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    stated = F.concat_ws("|", *[F.concat(quoted(a), F.lit(f"{gap}{start}{words}{stop}{gap}"), quoted(b)) for a, words, b in forms])
+    apart = [(p, " such as "), (c, " явля")]
+    of_term = cut(snippets.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("document_id", F.lower("snippet").alias("s")))).alias("texts")))
+    found = pairs.withColumn("hits", F.lit(0)).withColumn("contra", F.lit(0)).withColumn("stated", stated)
+    for label, name in ((p, "of_parent"), (c, "of_child")):
+        keyed = found.withColumn("term", label)
+        met = spread_join(keyed, of_term, ["term"], ["parent", "child"], how="left")
+        both = F.filter("texts", lambda x: x["s"].contains(p) & x["s"].contains(c))
+        hit = F.filter(both, lambda x: F.regexp_like(x["s"], F.col("stated")))
+        missed = F.filter(both, lambda x: ~F.regexp_like(x["s"], F.col("stated")) & X.any_of([x["s"].contains(F.concat(F.lit(" "), a, F.lit(" "))) & x["s"].contains(w) for a, w in apart]))
+        docs = F.array_distinct(F.transform("texts", lambda x: x["document_id"]))
+        found = met.withColumn("hits", F.col("hits") + F.coalesce(F.size(hit), F.lit(0))).withColumn("contra", F.col("contra") + F.coalesce(F.size(missed), F.lit(0))).withColumn(name, F.coalesce(docs, F.array().cast("array<string>"))).drop("texts", "term")
+    ratio = F.size(F.array_intersect("of_parent", "of_child")) / F.greatest(F.lit(1), F.size(F.array_union("of_parent", "of_child")))
+    value = 0.60 * F.least(F.lit(1.0), F.col("hits") / 3) + 0.40 * ratio - F.least(F.lit(0.35), 0.12 * F.col("contra"))
+    return found.filter((F.size("of_parent") > 0) | (F.size("of_child") > 0)).select("parent", "child", "hits", "contra", F.greatest(F.lit(0.0), value).alias("evidence"))
+
+
+def attach_evidence(edges: DataFrame, evidence: DataFrame, weight: float = 0.12) -> DataFrame:
+    """REX-09: ``edges`` (parent, child, score and more) with ``evidence`` blended into the score; without any it stays."""
+    known = evidence.select("parent", "child", F.col("evidence").alias("_e"))
+    blended = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - weight) * F.col("score") + weight * F.col("_e"))), 4)
+    return edges.join(known, ["parent", "child"], "left").withColumn("score", F.coalesce(blended, "score")).withColumn("retrieval_evidence_score", F.round("_e", 4)).drop("_e")
+
+
+def relation_candidates(hard: DataFrame, soft: DataFrame, triggers: DataFrame, embedded: DataFrame, concepts: DataFrame, method: str = "hybrid", most: int = 1000) -> DataFrame:
+    """REX-04, SET-06: (lang, parent, child, score, method) of all strategies that ``method`` (hearst, embedding, hybrid) asks for.
+
+    Trigger pairs of a language join in only where its patterns gave fewer than ``max(4, concepts // 25)`` pairs; each
+    language has at most ``max(6, most // languages)`` of them, the best first (a limit that is part of the feature).
+    """
+    patterns = hard.select("lang", "parent", "child", "score", F.lit("hearst").alias("method")).unionByName(soft.select("lang", "parent", "child", "score", F.lit("hearst").alias("method")))
+    langs = concepts.select("lang").distinct().agg(F.count("*")).scalar()
+    enough = F.greatest(F.lit(4), F.floor(concepts.agg(F.count("*")).scalar() / 25))
+    rich = patterns.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), "parent", "child")
+    few = triggers.join(rich, "lang", "left_anti").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.greatest(F.lit(6), F.floor(F.lit(most) / langs)))
+    spoken = patterns.unionByName(few.select("lang", "parent", "child", "score", F.lit("hearst_trigger_fallback").alias("method")))
+    near = embedded.select("lang", "parent", "child", "score", "method")
+    return spoken if method == "hearst" else near if method == "embedding" else spoken.unionByName(near)

@@ -118,9 +118,9 @@ QUERIES = {f.__name__: f for f in (hearst_matches, hearst_pairs, concept_relatio
 
 def _hearst() -> str:
     parts = []
-    for k, (lang, literal, p, first) in enumerate(R.PATTERNS):
+    for k, (lang, p, first) in enumerate(R.PATTERNS):
         a, b = (1, 2) if first else (2, 1)
-        parts.append(f"SELECT chunk_id, document_id, lang, {k} AS pattern, unnest(regexp_extract_all(low, '{p}', {a})) AS pt, unnest(regexp_extract_all(low, '{p}', {b})) AS ct FROM t WHERE lang = '{lang}' AND contains(low, '{literal}')")
+        parts.append(f"SELECT chunk_id, document_id, lang, {k} AS pattern, unnest(regexp_extract_all(low, '{p}', {a})) AS pt, unnest(regexp_extract_all(low, '{p}', {b})) AS ct FROM t WHERE lang = '{lang}'")
     return f"WITH {CHUNKS}, t AS MATERIALIZED (SELECT *, lower(text) AS low FROM chunks), m AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
@@ -153,16 +153,16 @@ FROM q WHERE (o >= 0.2 OR c > 0) AND NOT (xn = 1 AND yn = 1)""",
 n AS (SELECT document_id, lang, {S.candidate('x')} AS parent, {S.candidate('y')} AS child FROM b) SELECT lang, parent, child, count(*) AS support, count(DISTINCT document_id) AS docs FROM n WHERE parent <> child GROUP BY ALL""",
     "closest_labels": f"""WITH p AS (SELECT DISTINCT lower(x) AS phrase FROM (SELECT unnest(surface_forms) AS x FROM concepts)), l AS (SELECT DISTINCT lower(canonical) AS label FROM concepts),
 pt AS (SELECT phrase, list_distinct({S.tokens('phrase')}) AS t FROM p), lt AS (SELECT label, list_distinct({S.tokens('label')}) AS t FROM l),
-s AS (SELECT phrase, label, len(list_intersect(pt.t, lt.t))::DOUBLE / len(list_distinct(list_concat(pt.t, lt.t))) AS overlap FROM pt JOIN lt ON len(list_intersect(pt.t, lt.t)) > 0)
-SELECT phrase, label, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY overlap DESC, label) AS k FROM s WHERE overlap >= 0.62) WHERE k = 1""",
+s AS (SELECT phrase, label, len(list_intersect(pt.t, lt.t))::DOUBLE / len(list_distinct(list_concat(pt.t, lt.t))) AS overlap, len(list_intersect(pt.t, lt.t))::DOUBLE / len(pt.t) AS part,
+  2.0::DOUBLE * least(length(phrase), length(label)) / (length(phrase) + length(label)) AS ratio FROM pt JOIN lt ON len(list_intersect(pt.t, lt.t)) > 0),
+o AS (SELECT phrase, label, overlap, 0 AS stage, overlap AS value FROM s WHERE overlap >= 0.62
+  UNION ALL SELECT phrase, label, overlap, 1, part + 0.35::DOUBLE * ratio FROM s WHERE overlap < 0.62 AND part >= 0.6 AND ratio >= 0.72 AND length(phrase) >= 5 AND length(label) >= 5 AND (contains(phrase, label) OR contains(label, phrase)))
+SELECT phrase, label, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY stage, value DESC, label) AS k FROM o) WHERE k = 1""",
     "pair_cooccurrence_support": _CONTAIN + """, n AS (SELECT collection_id, term, count(*) AS n FROM pres GROUP BY ALL),
 p AS (SELECT a.collection_id, a.term AS a, b.term AS b, count(*) AS n FROM pres a JOIN pres b ON b.collection_id = a.collection_id AND b.chunk_id = a.chunk_id AND a.term < b.term GROUP BY ALL)
 SELECT p.collection_id, a, b, p.n, round(least(1, p.n::DOUBLE / max(p.n) OVER (PARTITION BY p.collection_id) * (1 / (1 + 0.02::DOUBLE * greatest(x.n + y.n - 4, 0)))), 6) AS support
 FROM p JOIN n x ON x.collection_id = p.collection_id AND x.term = a JOIN n y ON y.collection_id = p.collection_id AND y.term = b""",
     "concept_doc_frequency": _CONTAIN + " SELECT l.collection_id, l.term, count(DISTINCT document_id) AS df FROM labels l LEFT JOIN pres p ON p.collection_id = l.collection_id AND p.term = l.term GROUP BY ALL",
-    "evidence_topk_snippets": f"""WITH {CHUNKS}, labels AS (SELECT DISTINCT lower(canonical) AS term FROM concepts), ph AS (SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, unnest({S.phrases('text', 5)}) AS term FROM chunks)),
-r AS (SELECT term, c.id, c.document_id, {S.normal_lang("coalesce(c.lang, '')")} AS lang, c.text, row_number() OVER (PARTITION BY term ORDER BY c.document_id, c.chunk_index, c.id) AS rank FROM ph JOIN labels USING (term) JOIN document_chunks c ON c.id = ph.chunk_id)
-SELECT term, CAST(rank AS INT) AS rank, document_id, lang, md5(substring(text, 1, 600)) AS snippet FROM r WHERE rank <= 5""",
     "cluster_centroids": _VEC + " SELECT cluster, CAST(d AS INT) AS d, round(x, 5) AS x FROM c",
     "parent_ranking": _RANKED + " SELECT r.cluster, r.id, r.quality, p.id IS NOT NULL AS in_pool FROM r LEFT JOIN pool p ON p.id = r.id",
     "embedding_parents": _RANKED + """, kid AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM pool)),
