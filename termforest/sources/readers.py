@@ -10,6 +10,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -111,24 +112,27 @@ def safe_name(name: Column) -> Column:
 CHUNKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
 
+def _sentence_runs(paragraph: str, limit: int) -> Iterator[tuple[int, str]]:
+    """(place, text) of the longest runs of sentences within ``limit``; every sentence counts with a blank behind it."""
+    parts = re.split(r"(?<=[.!?])\s+", paragraph)
+    spaced, ends = " ".join(parts), list(accumulate(len(p) + 1 for p in parts))
+    firsts, base = [0], 0
+    for before, end in pairwise(ends):
+        if end - base > limit:
+            firsts.append(base := before)
+    for begin, end in zip(firsts, [*firsts[1:], len(spaced)]):
+        yield begin, spaced[begin:end].strip()
+
+
 def pack(text: str, limit: int) -> list[tuple[str, int, int]]:
-    """TXT-02: paragraphs, long ones as packed sentences; (text, start, stop), offsets as if breaks were two characters."""
-    out, offset = [], 0
-    for raw in re.split(r"\n{2,}", text):
-        para = raw.strip()
-        if para and len(para) <= limit:
-            out.append((para, offset, offset + len(para)))
-        elif para:
-            buffer, start = "", offset
-            for s in re.split(r"(?<=[.!?])\s+", para):
-                if buffer and len(buffer) + len(s) + 1 > limit:
-                    out.append((buffer.strip(), start, start + len(buffer.strip())))
-                    start, buffer = start + len(buffer), ""
-                buffer += s + " "
-            if buffer.strip():
-                out.append((buffer.strip(), start, start + len(buffer.strip())))
-        offset += len(para) + 2
-    return out
+    """TXT-02: paragraphs, long ones as runs of sentences; (text, start, stop).
+
+    Offsets count stripped paragraphs with two characters between them, and sentences with one, whatever stands there.
+    """
+    paragraphs = [p.strip() for p in re.split(r"\n{2,}", text)]
+    places = accumulate((len(p) + 2 for p in paragraphs), initial=0)
+    found = ((place + at, run) for place, p in zip(places, paragraphs) for at, run in (_sentence_runs(p, limit) if len(p) > limit else [(0, p)]))
+    return [(run, at, at + len(run)) for at, run in found if run]
 
 
 def merge_short(chunks: list[tuple[str, int, int]], limit: int, least: int) -> list[tuple[str, int, int]]:
