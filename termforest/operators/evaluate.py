@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforest.functions import text as X
@@ -44,17 +44,90 @@ def structure(nodes: DataFrame, edges: DataFrame, depths: DataFrame) -> DataFram
     return grouped.withColumnRenamed("_lang", "lang")
 
 
-def fragmentation(parts: DataFrame, edges: DataFrame, low: float = 0.62) -> DataFrame:
-    """EV-05: components, small and isolated ones, fragmentation index, share of weak edges."""
+def candidate_nodes(nodes: DataFrame, min_df: int = 2) -> DataFrame:
+    """EV-10: ``nodes`` (grp, node, canonical, df and more) with ``candidate``: a good label in two documents or more."""
+    return nodes.withColumn("candidate", ~X.is_low_quality_label("canonical") & (F.coalesce("df", F.lit(0)) >= min_df))
+
+
+def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """SET-04: (grp, coverage, coverage_candidates): shares of all and of the candidate nodes that have an edge."""
+    ends = edges.select("grp", F.col("parent").alias("node")).union(edges.select("grp", "child")).distinct()
+    flags = nodes.join(ends.withColumn("_linked", F.lit(1)), ["grp", "node"], "left")
+    linked = F.col("_linked").isNotNull()
+    share = F.coalesce(F.try_divide(F.count_if(F.col("candidate") & linked), F.count_if("candidate")), F.lit(0.0))
+    return flags.groupBy("grp").agg((F.count_if(linked) / F.count("*")).alias("coverage"), share.alias("coverage_candidates"))
+
+
+def risky_edges(edges: DataFrame, nodes: DataFrame, low: float = 0.62) -> DataFrame:
+    """EV-05: the edges of low score whose child looks more general: its words are a part of the parent's, or it is in
+    two documents more and no longer. ``nodes``: grp, node, canonical, df."""
+    side = lambda x: nodes.select("grp", F.col("node").alias(x), F.col("canonical").alias(f"{x}_label"), F.coalesce("df", F.lit(0)).alias(f"{x}_df"))
+    rows = edges.filter(F.col("score") <= low).join(side("parent"), ["grp", "parent"]).join(side("child"), ["grp", "child"])
+    p, c = X.tokens("parent_label"), X.tokens("child_label")
+    subset = (F.size(p) > F.size(c)) & (F.size(c) > 0) & (F.size(F.array_except(c, p)) == 0)
+    wider = (F.col("child_df") >= F.col("parent_df") + 2) & (F.size(c) <= F.size(p))
+    return rows.withColumn("lexical_subset", subset).filter(subset | wider)
+
+
+def fragmentation(parts: DataFrame, edges: DataFrame, nodes: DataFrame, low: float = 0.62) -> DataFrame:
+    """EV-05: components, small and isolated ones, fragmentation index (components over nodes), weak and risky edges.
+
+    ``parts``: grp, node, component of the nodes of a graph; ends of edges that are no nodes belong to none.
+    """
     sizes = parts.groupBy("grp", "component").agg(F.count("*").alias("size"))
-    per = sizes.groupBy("grp").agg(F.count("*").alias("n_components"), F.count_if(F.col("size") <= 2).alias("n_small"), F.count_if(F.col("size") == 1).alias("n_isolated"), F.sum("size").alias("n_nodes"), F.max("size").alias("largest"))
-    weak = edges.groupBy("grp").agg(F.count("*").alias("n_edges"), F.count_if(F.col("score") <= low).alias("n_weak"))
-    return per.join(weak, "grp", "left").na.fill(0, ["n_edges", "n_weak"]).select(
-        "grp", "n_components", "n_small", "n_isolated", F.round(1 - F.col("largest") / F.col("n_nodes"), 4).alias("fragmentation"),
-        "n_weak", F.round(F.coalesce(F.try_divide(F.col("n_weak"), F.col("n_edges")), F.lit(0.0)), 4).alias("weak_share"),
+    small = F.col("size") <= 2
+    per = sizes.groupBy("grp").agg(F.count("*").alias("n_components"), F.count_if(small).alias("n_small"), F.count_if(F.col("size") == 1).alias("n_isolated"), F.sum("size").alias("n_nodes"), F.sum(F.when(small, F.col("size")).otherwise(0)).alias("in_small"))
+    weak = edges.groupBy("grp").agg(F.count("*").alias("n_edges"))
+    known = nodes.select("grp", "node")
+    inside = edges.filter(F.col("score") <= low).join(known.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_semi").join(known.withColumnRenamed("node", "child"), ["grp", "child"], "left_semi")
+    weak = weak.join(inside.groupBy("grp").agg(F.count("*").alias("n_weak")), "grp", "left").join(risky_edges(edges, nodes, low).groupBy("grp").agg(F.count("*").alias("n_risky")), "grp", "left")
+    share = lambda x: F.round(F.coalesce(F.try_divide(F.col(x), F.col("n_edges")), F.lit(0.0)), 4)
+    return per.join(weak, "grp", "left").na.fill(0, ["n_edges", "n_weak", "n_risky"]).select(
+        "grp", "n_components", "n_small", "n_isolated", F.round(F.col("n_components") / F.col("n_nodes"), 4).alias("fragmentation"), F.round(F.col("in_small") / F.col("n_nodes"), 4).alias("small_share"),
+        "n_weak", share("n_weak").alias("weak_share"), "n_risky", share("n_risky").alias("risky_share"),
     )
 
 
+def connectivity_slices(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """EV-04: (edges, nodes) with ``grp`` a struct (grp, slice): all and candidate nodes, each overall and by language.
+
+    An edge is in a slice if both of its ends are; so one run of the graph measures gives all slices.
+    """
+    lang = F.coalesce("lang", F.lit("unknown"))
+    both = lambda kind: F.array(F.lit(kind), F.concat(F.lit(kind + "/"), lang))
+    of = nodes.withColumn("_s", F.concat(both("all"), F.when(F.col("candidate"), both("candidate")).otherwise(F.array().cast("array<string>"))))
+    end = lambda x: of.select("grp", F.col("node").alias(x), F.col("_s").alias(f"_{x}"))
+    cut_edges = edges.join(end("parent"), ["grp", "parent"]).join(end("child"), ["grp", "child"]).withColumn("slice", F.explode(F.array_intersect("_parent", "_child")))
+    in_slice = F.struct("grp", "slice").alias("grp")
+    return cut_edges.select(in_slice, "parent", "child", "score"), of.withColumn("slice", F.explode("_s")).select(in_slice, "node", "canonical")
+
+
+def active_learning(candidates: DataFrame, labels: DataFrame, grp: str, n: int = 25, shown: int = 12) -> DataFrame:
+    """EV-09, AGG-21: per ``grp`` the ``n`` candidates of highest risk by decision, the first ``shown``, and the number of
+    labels of its collection (a report of that size). ``labels``: collection_id."""
+    order = Window.partitionBy(grp).orderBy(F.desc_nulls_last("risk_score"), "id")
+    top = candidates.filter(F.col(grp).isNotNull()).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n)
+    item = F.struct("_r", F.col("parent_label").alias("parent"), F.col("child_label").alias("child"), "method", F.round(F.coalesce(F.nanvl("risk_score", F.lit(0.0)), F.lit(0.0)), 4).alias("risk_score"), "decision")
+    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= shown, item))), lambda x: x.dropFields("_r"))
+    per = top.groupBy(grp).agg(F.count("*").alias("n_top"), F.count_if(F.col("decision") == "accepted").alias("n_accepted"), F.count_if(F.col("decision") == "rejected").alias("n_rejected"), F.min("collection_id").alias("collection_id"), listed.alias("top"))
+    history = labels.groupBy("collection_id").agg(F.count("*").alias("n_labels"))
+    return per.join(history, "collection_id", "left").na.fill(0, ["n_labels"]).drop("collection_id")
+
+
+def assemble(parts: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """EV-11, SNK-05: (grp, report): one JSON report per graph of ``keys`` with a list of rows under each name.
+
+    The rows of a graph in a part are few: one per language, slice, method or rank.
+    """
+    out = keys.select("grp").distinct()
+    for name, df in parts.items():
+        rest = [c for c in df.columns if c != "grp"]
+        listed = df.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+        out = out.join(listed, "grp", "left")
+    fields = [F.lit(2).alias("schema_version"), *[F.coalesce(n, F.array()).alias(n) for n in parts]]
+    return out.select("grp", F.to_json(F.struct(*fields)).alias("report"))
+
+
 def review_rates(edges: DataFrame, keys: list[str]) -> DataFrame:
     """EV-06: reviewed, approved and rejected edges by the nullable flag ``approved``; rates of nothing are 0."""
     a = F.col("approved")
@@ -84,6 +157,14 @@ def quality_score(coverage: Column, lcr: Column, fragmentation: Column, weak_sha
     return F.round(10 * (0.30 * coverage + 0.25 * lcr + 0.15 * (1 - share(fragmentation)) + 0.10 * (1 - share(weak_share)) + 0.10 * hub + 0.10 * (1 - disagreement)), 3)
 
 
+def top_rejections(edges: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """AGG-17: the ``n`` most frequent rejection reasons as ``reason=count`` in one string (a report of that size)."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "rejection_reason")
+    top = rejection_counts(edges, keys).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_r", F.concat_ws("=", "rejection_reason", F.col("n").cast("string")).alias("t")))), lambda x: x["t"])
+    return top.groupBy(*keys).agg(F.array_join(listed, ", ").alias("reasons"))
+
+
 def rejection_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-17: rejection reasons by frequency."""
     return edges.filter("rejection_reason is not null").groupBy(*keys, "rejection_reason").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from termforest.operators import evaluate as V
 from termforest.operators import graph as G
 from termforest.operators import terms as T
 from termforest.plans import sql as S
+from termforest.plans.relation_queries import CONTAIN, keyed
 from termforest.plans.term_queries import CHUNKS, _FREQ, chunks_of
 from termforest.session import cut
 
@@ -204,36 +205,106 @@ def method_distribution(spark, folder):
     return V.method_distribution(c, ["taxonomy_version_id"])
 
 
+def _judged_nodes(spark, folder):
+    """Nodes with the document frequency of their label in their collection and whether they are candidates."""
+    chunks, labels = keyed(spark, folder)
+    df = T.phrase_hits(chunks, labels, 5, ("collection_id",)).groupBy("collection_id", "term").agg(F.count_distinct("document_id").alias("df"))
+    v = spark.read.parquet(f"{folder}/taxonomy_versions.parquet").select(F.col("id").alias("grp"), "collection_id")
+    c = spark.read.parquet(f"{folder}/concepts.parquet").select("collection_id", F.col("id").alias("node"), "canonical", F.lower("canonical").alias("term"), X.normalize_lang(F.coalesce("lang", F.lit(""))).alias("lang"))
+    return cut(V.candidate_nodes(v.join(c.join(df, ["collection_id", "term"], "left"), "collection_id").drop("collection_id", "term").na.fill(0, ["df"])))
+
+
+def _inner(e, n):
+    """Edges between nodes."""
+    known = n.select("grp", "node")
+    return e.join(known.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_semi").join(known.withColumnRenamed("node", "child"), ["grp", "child"], "left_semi")
+
+
 def fragmentation_risk(spark, folder):
-    e = cut(accepted(spark, folder))
-    return _version(V.fragmentation(G.components(e, _nodes(spark, folder)), e))
+    """EV-05 per version."""
+    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
+    return _version(V.fragmentation(G.components(_inner(e, n), n), e, n))
 
 
-def manual_review_rates(spark, folder):
-    """EV-06: candidates with their latest decisive label."""
+def candidate_coverage(spark, folder):
+    """EV-10, SET-04 per version."""
+    e, n = accepted(spark, folder), _judged_nodes(spark, folder)
+    return _version(V.coverage(n, e)).withColumn("coverage", F.round("coverage", 6)).withColumn("coverage_candidates", F.round("coverage_candidates", 6))
+
+
+def connectivity_report(spark, folder):
+    """EV-04: the graph measures of every version for all and candidate concepts, overall and by language."""
+    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
+    se, sn = (cut(x) for x in V.connectivity_slices(e, n))
+    ends = G.nodes_of(se).join(sn, ["grp", "node"])
+    noise = ends.filter(X.is_low_quality_label("canonical")).groupBy("grp").agg(F.count("*").alias("n_noise"))
+    q = G.graph_quality(se, sn, noise)
+    return q.select(F.col("grp.grp").alias("taxonomy_version_id"), F.col("grp.slice").alias("slice"), "n", "n_edges", "n_components", *[F.round(c, 6).alias(c) for c in ("edge_density", "largest_component_ratio", "hubness", "lexical_noise_rate")])
+
+
+def _labels_last(spark, folder):
     d = spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet").filter("candidate_id is not null")
     low = F.lower(F.trim("label"))
     flag = F.when(low.isin(*L.POSITIVE_LABELS), True).when(low.isin(*L.NEGATIVE_LABELS), False)
-    last = d.withColumn("flag", flag).filter("flag is not null").groupBy("candidate_id").agg(F.max_by("flag", F.struct("created_at", "id")).alias("approved"))
+    return d.withColumn("flag", flag).filter("flag is not null").groupBy("candidate_id").agg(F.max_by("flag", F.struct("created_at", "id")).alias("approved"))
+
+
+def manual_review_rates(spark, folder):
+    """EV-06: candidates with their latest decisive label."""
     c = candidates(spark, folder).select(F.col("id").alias("candidate_id"), "method")
-    return V.review_rates(c.join(last, "candidate_id", "left"), ["method"])
+    return V.review_rates(c.join(_labels_last(spark, folder), "candidate_id", "left"), ["method"])
+
+
+def _reviews(spark, folder):
+    c = candidates(spark, folder).select(F.col("id").alias("candidate_id"), F.col("taxonomy_version_id").alias("grp"))
+    return V.review_rates(c.join(_labels_last(spark, folder), "candidate_id", "left").dropna(subset=["grp"]), ["grp"])
 
 
 def cross_lang_consistency(spark, folder):
     return V.cross_language(candidates(spark, folder).filter("decision = 'accepted'"))
 
 
+def _scores(e, n, reviews):
+    parts = cut(G.components(_inner(e, n), n))
+    lcr = G.largest_component_ratio(parts).select("grp", F.col("ratio").alias("lcr"))
+    hub = _inner(e, n).groupBy("grp", "parent").agg(F.count("*").alias("c")).groupBy("grp").agg((F.max("c") / F.median("c")).alias("hub"))
+    wrong = reviews.select("grp", F.coalesce(F.try_divide(F.col("rejected"), F.col("reviewed")), F.lit(0.0)).alias("disagreement"))
+    risk = V.fragmentation(parts, e, n)
+    # a graph without edges has no component of its own, so the largest one counts nothing
+    j = V.coverage(n, e).join(risk, "grp").join(lcr, "grp").join(hub, "grp", "left").join(wrong, "grp", "left")
+    zero = F.lit(0.0)
+    score = V.quality_score(F.col("coverage_candidates"), F.when(F.col("hub").isNull(), 0.0).otherwise(F.col("lcr")), F.col("fragmentation"), F.col("weak_share"), F.coalesce("hub", zero), F.coalesce("disagreement", zero))
+    return j.select("grp", score.alias("quality"))
+
+
 def version_quality_scores(spark, folder):
     """EV-08 per version."""
-    e, n = cut(accepted(spark, folder)), _nodes(spark, folder)
-    parts = cut(G.components(e, n))
-    f = V.fragmentation(parts, e)
-    lcr = G.largest_component_ratio(parts).select("grp", F.col("ratio").alias("lcr"))
-    cov = n.join(G.nodes_of(e).withColumn("linked", F.lit(1)), ["grp", "node"], "left").groupBy("grp").agg((F.count("linked") / F.count("*")).alias("coverage"))
-    hub = e.groupBy("grp", "parent").agg(F.count("*").alias("c")).groupBy("grp").agg((F.max("c") / F.median("c")).alias("hub"))
-    j = cov.join(f, "grp").join(lcr, "grp").join(hub, "grp", "left")
-    s = V.quality_score(F.col("coverage"), F.col("lcr"), F.col("fragmentation"), F.col("weak_share"), F.coalesce("hub", F.lit(0.0)), F.lit(0.0))
-    return _version(j.select("grp", F.round(s, 2).alias("quality")))
+    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
+    return _version(_scores(e, n, _reviews(spark, folder))).withColumn("quality", F.round("quality", 2))
+
+
+def active_learning_summary(spark, folder):
+    """EV-09, AGG-21 per version."""
+    labels = spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet")
+    return V.active_learning(candidates(spark, folder), labels, "taxonomy_version_id").drop("top")
+
+
+def top_rejection_reasons(spark, folder):
+    """AGG-17 per version."""
+    return V.top_rejections(candidates(spark, folder), ["taxonomy_version_id"])
+
+
+def quality_reports(spark, folder):
+    """EV-11, SNK-05: one JSON report per version."""
+    e, n, reviews = cut(accepted(spark, folder)), _judged_nodes(spark, folder), cut(_reviews(spark, folder))
+    back = lambda df: df.withColumnRenamed("taxonomy_version_id", "grp")
+    structure = V.structure(n.select("grp", "node", "lang"), e, G.depths(e)).withColumn("meets_coverage", F.col("coverage") >= 0.45)
+    parts = {
+        "structural": structure, "graph_connectivity": back(connectivity_report(spark, folder)), "edge_confidence": back(edge_confidence_stats(spark, folder)), "methods": back(method_distribution(spark, folder)),
+        "risk": V.fragmentation(G.components(_inner(e, n), n), e, n), "manual_review": reviews, "active_learning": back(V.active_learning(candidates(spark, folder), spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet"), "taxonomy_version_id")),
+        "quality_score_10": _scores(e, n, reviews),
+    }
+    return _version(V.assemble(parts, n))
 
 
 def active_learning_topk(spark, folder):
@@ -249,7 +320,7 @@ QUERIES = {f.__name__: f for f in (
     parent_validity, blended_scores, edge_rejection_reasons, edge_features, risk_scores, method_thresholds, profile_thresholds, edge_dedupe_merge, collapse_bidirectional,
     connected_components, component_ratio, degree_counts, cap_children_per_parent, hierarchy_roots, leaf_edges, orphan_concepts, bfs_depths, depth_limited_edges, tree_paths,
     tree_stats, graph_quality, structural_report, edge_confidence_stats, method_distribution, fragmentation_risk, manual_review_rates, cross_lang_consistency,
-    version_quality_scores, active_learning_topk, rejection_reason_counts,
+    version_quality_scores, active_learning_topk, rejection_reason_counts, candidate_coverage, connectivity_report, active_learning_summary, top_rejection_reasons, quality_reports,
 )}
 
 _NUM = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
@@ -264,6 +335,23 @@ _WALK = """walk AS (SELECT DISTINCT v, p AS root, p AS n, 0 AS depth, [p] AS pat
   UNION ALL SELECT w.v, w.root, e.c, w.depth + 1, list_append(w.path, e.c) FROM walk w JOIN e ON e.v = w.v AND e.p = w.n WHERE NOT list_contains(w.path, e.c))"""
 
 
+_LAST = f"""lab AS (SELECT candidate_id, created_at, id, CASE WHEN lower(trim(label)) IN ({S.quoted(L.POSITIVE_LABELS)}) THEN TRUE WHEN lower(trim(label)) IN ({S.quoted(L.NEGATIVE_LABELS)}) THEN FALSE END AS flag FROM taxonomy_edge_labels WHERE candidate_id IS NOT NULL),
+last AS (SELECT candidate_id, flag FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY created_at DESC, id DESC) AS k FROM lab WHERE flag IS NOT NULL) WHERE k = 1)"""
+# concepts of every version with their document frequency and whether they are candidates
+_JUDGED = CONTAIN.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_ACC}, {_NODES}, fq AS (SELECT collection_id, term, count(DISTINCT document_id) AS df FROM pres GROUP BY ALL),
+cn AS (SELECT canonical, {S.candidate('canonical')} AS cand FROM (SELECT DISTINCT canonical FROM concepts)), lowq AS MATERIALIZED (SELECT canonical FROM cn WHERE {S.low_quality('cand')}),
+j AS MATERIALIZED (SELECT nodes.v, nodes.n, nodes.canonical, nodes.lang, coalesce(df, 0) AS df, coalesce(df, 0) >= 2 AND nodes.canonical NOT IN (SELECT canonical FROM lowq) AS cand
+  FROM nodes JOIN concepts k ON k.id = nodes.n LEFT JOIN fq ON fq.collection_id = k.collection_id AND fq.term = lower(k.canonical)),
+ie AS MATERIALIZED (SELECT e.* FROM e JOIN j a ON a.v = e.v AND a.n = e.p JOIN j b ON b.v = e.v AND b.n = e.c)"""
+_COVER = " cover AS (SELECT j.v, count(x.n)::DOUBLE / count(*) AS coverage, coalesce(count(x.n) FILTER (WHERE cand)::DOUBLE / nullif(count(*) FILTER (WHERE cand), 0), 0) AS coverage_candidates FROM j LEFT JOIN (SELECT v, p AS n FROM e UNION SELECT v, c FROM e) x ON x.v = j.v AND x.n = j.n GROUP BY j.v) "
+_TOK = [S.tokens("pl"), S.tokens("cl")]
+_RISK = f""", iu AS MATERIALIZED (SELECT v, p AS a, c AS b FROM ie UNION SELECT v, c, p FROM ie), reach AS (SELECT v, n, n AS m FROM j UNION SELECT r.v, r.n, iu.b FROM reach r JOIN iu ON iu.v = r.v AND iu.a = r.m),
+sizes AS MATERIALIZED (SELECT v, g, count(*) AS k FROM (SELECT v, n, min(m) AS g FROM reach GROUP BY v, n) GROUP BY ALL), wk AS (SELECT v, count(*) AS n_weak FROM ie WHERE score <= 0.62::DOUBLE GROUP BY v), te AS (SELECT v, count(*) AS n FROM e GROUP BY v),
+rk AS (SELECT v, count(*) AS n_risky FROM (SELECT ie.v, a.canonical AS pl, b.canonical AS cl, a.df AS pd, b.df AS cd FROM ie JOIN j a ON a.v = ie.v AND a.n = ie.p JOIN j b ON b.v = ie.v AND b.n = ie.c WHERE score <= 0.62::DOUBLE)
+  WHERE (len({_TOK[0]}) > len({_TOK[1]}) AND len({_TOK[1]}) > 0 AND list_has_all({_TOK[0]}, {_TOK[1]})) OR (cd >= pd + 2 AND len({_TOK[1]}) <= len({_TOK[0]})) GROUP BY v),
+risk AS MATERIALIZED (SELECT s.v, count(*) AS n_components, count(*) FILTER (WHERE k <= 2) AS n_small, count(*) FILTER (WHERE k = 1) AS n_isolated, round(count(*)::DOUBLE / sum(k), 4) AS fragmentation, round(coalesce(sum(k) FILTER (WHERE k <= 2), 0)::DOUBLE / sum(k), 4) AS small_share,
+  coalesce(any_value(n_weak), 0) AS n_weak, round(coalesce(coalesce(any_value(n_weak), 0)::DOUBLE / any_value(te.n), 0), 4) AS weak_share, coalesce(any_value(n_risky), 0) AS n_risky, round(coalesce(coalesce(any_value(n_risky), 0)::DOUBLE / any_value(te.n), 0), 4) AS risky_share
+  FROM sizes s LEFT JOIN wk ON wk.v = s.v LEFT JOIN rk ON rk.v = s.v LEFT JOIN te ON te.v = s.v GROUP BY s.v) """
 # depths by breadth first, a node once
 _NEAR = """d(v, n, depth) USING KEY (v, n) AS (SELECT DISTINCT v, p, 0 FROM e WHERE NOT EXISTS (SELECT 1 FROM e k WHERE k.v = e.v AND k.c = e.p)
   UNION SELECT DISTINCT e.v, e.c, d.depth + 1 FROM d JOIN e ON e.v = d.v AND e.p = d.n LEFT JOIN recurring.d AS old ON old.v = e.v AND old.n = e.c WHERE old.n IS NULL)"""
@@ -348,10 +436,25 @@ FROM f GROUP BY GROUPING SETS ((v, lang), (v))""",
   count(*) FILTER (WHERE final_score >= 0.7::DOUBLE AND final_score < 0.9::DOUBLE) AS from_07, count(*) FILTER (WHERE final_score >= 0.9::DOUBLE) AS from_09
 FROM taxonomy_edge_candidates WHERE decision = 'accepted' AND final_score IS NOT NULL AND NOT isnan(final_score) GROUP BY 1""",
     "method_distribution": "SELECT taxonomy_version_id, coalesce(method, 'unknown') AS method, count(*) AS n FROM taxonomy_edge_candidates WHERE decision = 'accepted' GROUP BY ALL",
-    "fragmentation_risk": _COMP + f""", {_NODES}, ap AS (SELECT v, n, component FROM parts UNION ALL SELECT v, n, n FROM nodes WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.v = nodes.v AND p.n = nodes.n)),
-s AS (SELECT v, component, count(*) AS k FROM ap GROUP BY ALL), w AS (SELECT v, count(*) AS n_edges, count(*) FILTER (WHERE score <= 0.62::DOUBLE) AS n_weak FROM e GROUP BY v)
-SELECT s.v AS taxonomy_version_id, count(*) AS n_components, count(*) FILTER (WHERE k <= 2) AS n_small, count(*) FILTER (WHERE k = 1) AS n_isolated, round(1 - max(k)::DOUBLE / sum(k), 4) AS fragmentation, coalesce(any_value(n_weak), 0) AS n_weak, round(coalesce(any_value(n_weak)::DOUBLE / any_value(n_edges), 0), 4) AS weak_share
-FROM s LEFT JOIN w ON w.v = s.v GROUP BY s.v""",
+    "fragmentation_risk": _JUDGED + _RISK + "SELECT v AS taxonomy_version_id, n_components, n_small, n_isolated, fragmentation, small_share, n_weak, weak_share, n_risky, risky_share FROM risk",
+    "candidate_coverage": _JUDGED + "," + _COVER + "SELECT v AS taxonomy_version_id, round(coverage, 6) AS coverage, round(coverage_candidates, 6) AS coverage_candidates FROM cover",
+    "version_quality_scores": _JUDGED + _RISK + "," + _COVER + f""", hub AS (SELECT v, max(c)::DOUBLE / median(c) AS hub FROM (SELECT v, p, count(*) AS c FROM ie GROUP BY v, p) GROUP BY v), big AS (SELECT v, max(k)::DOUBLE / sum(k) AS lcr FROM sizes GROUP BY v),
+{_LAST}, rev AS (SELECT taxonomy_version_id AS v, coalesce(count(*) FILTER (WHERE NOT flag)::DOUBLE / nullif(count(flag), 0), 0) AS dis FROM taxonomy_edge_candidates c LEFT JOIN last ON last.candidate_id = c.id GROUP BY 1)
+SELECT cover.v AS taxonomy_version_id, round(round(10 * (0.3::DOUBLE * coverage_candidates + 0.25::DOUBLE * CASE WHEN hub IS NULL THEN 0 ELSE lcr END + 0.15::DOUBLE * (1 - CASE WHEN fragmentation = 0 THEN 1 ELSE fragmentation END)
+  + 0.1::DOUBLE * (1 - CASE WHEN weak_share = 0 THEN 1 ELSE weak_share END) + 0.1::DOUBLE * (1 - least(1, coalesce(hub, 0) / 8)) + 0.1::DOUBLE * (1 - coalesce(dis, 0))), 3), 2) AS quality
+FROM cover JOIN risk ON risk.v = cover.v JOIN big ON big.v = cover.v LEFT JOIN hub ON hub.v = cover.v LEFT JOIN rev ON rev.v = cover.v""",
+    "connectivity_report": _JUDGED + f""", sl AS MATERIALIZED (SELECT v, n, canonical, unnest(CASE WHEN cand THEN ['all', 'all/' || lang, 'candidate', 'candidate/' || lang] ELSE ['all', 'all/' || lang] END) AS s FROM j),
+se AS MATERIALIZED (SELECT e.v, a.s, e.p, e.c FROM e JOIN sl a ON a.v = e.v AND a.n = e.p JOIN sl b ON b.v = e.v AND b.n = e.c AND b.s = a.s),
+u AS MATERIALIZED (SELECT v, s, p AS a, c AS b FROM se UNION SELECT v, s, c, p FROM se), rr AS (SELECT DISTINCT v, s, a AS n, a AS m FROM u UNION SELECT r.v, r.s, r.n, u.b FROM rr r JOIN u ON u.v = r.v AND u.s = r.s AND u.a = r.m),
+pt AS MATERIALIZED (SELECT v, s, n, min(m) AS g FROM rr GROUP BY ALL), sz AS (SELECT v, s, count(*) AS comps, max(k) AS big, sum(k) AS linked FROM (SELECT v, s, g, count(*) AS k FROM pt GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT v, s, max(c)::DOUBLE / median(c) AS hub, sum(c) AS edges FROM (SELECT v, s, p, count(*) AS c FROM se GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT pt.v, pt.s, count(*) AS noise FROM pt JOIN nodes d ON d.v = pt.v AND d.n = pt.n JOIN lowq ON lowq.canonical = d.canonical GROUP BY ALL), t AS (SELECT v, s, count(*) AS n FROM sl GROUP BY ALL)
+SELECT t.v AS taxonomy_version_id, t.s AS slice, t.n, CAST(coalesce(edges, 0) AS BIGINT) AS n_edges, coalesce(comps, 0) AS n_components, round(coalesce(edges, 0)::DOUBLE / t.n, 6) AS edge_density, round(coalesce(big::DOUBLE / t.n, 0), 6) AS largest_component_ratio,
+  round(coalesce(hub, 0), 6) AS hubness, round(coalesce(noise::DOUBLE / linked, 0), 6) AS lexical_noise_rate FROM t LEFT JOIN sz ON sz.v = t.v AND sz.s = t.s LEFT JOIN h ON h.v = t.v AND h.s = t.s LEFT JOIN z ON z.v = t.v AND z.s = t.s""",
+    "active_learning_summary": """WITH r AS (SELECT taxonomy_version_id AS v, collection_id, decision, row_number() OVER (PARTITION BY taxonomy_version_id ORDER BY CASE WHEN isnan(risk_score) THEN 2 ELSE risk_score END DESC NULLS LAST, id) AS k FROM taxonomy_edge_candidates)
+SELECT v AS taxonomy_version_id, count(*) AS n_top, count(*) FILTER (WHERE decision = 'accepted') AS n_accepted, count(*) FILTER (WHERE decision = 'rejected') AS n_rejected, (SELECT count(*) FROM taxonomy_edge_labels l WHERE l.collection_id = min(r.collection_id)) AS n_labels FROM r WHERE k <= 25 GROUP BY v""",
+    "top_rejection_reasons": """WITH r AS (SELECT taxonomy_version_id AS v, rejection_reason AS x, count(*) AS n FROM taxonomy_edge_candidates WHERE rejection_reason IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n DESC, x) AS k FROM r)
+SELECT v AS taxonomy_version_id, string_agg(x || '=' || n, ', ' ORDER BY k) AS reasons FROM k WHERE k <= 5 GROUP BY v""",
     "manual_review_rates": f"""WITH f AS (SELECT candidate_id, created_at, id, CASE WHEN lower(trim(label)) IN ({S.quoted(L.POSITIVE_LABELS)}) THEN TRUE WHEN lower(trim(label)) IN ({S.quoted(L.NEGATIVE_LABELS)}) THEN FALSE END AS flag FROM taxonomy_edge_labels WHERE candidate_id IS NOT NULL),
 l AS (SELECT candidate_id, flag FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY created_at DESC, id DESC) AS k FROM f WHERE flag IS NOT NULL) WHERE k = 1)
 SELECT method, count(*) AS n, count(flag) AS reviewed, count(*) FILTER (WHERE flag) AS approved, count(*) FILTER (WHERE NOT flag) AS rejected, round(coalesce(count(*) FILTER (WHERE flag)::DOUBLE / nullif(count(flag), 0), 0), 4) AS approval_rate

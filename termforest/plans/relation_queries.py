@@ -16,7 +16,7 @@ def _labels(spark, folder):
     return spark.read.parquet(f"{folder}/concepts.parquet").select(F.lower("canonical").alias("term")).distinct()
 
 
-def _keyed(spark, folder):
+def keyed(spark, folder):
     """Chunks and labels with their collection."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("document_id", "collection_id")
     chunks = chunks_of(spark, folder).join(docs, "document_id")
@@ -53,14 +53,14 @@ def closest_labels(spark, folder):
 
 def pair_cooccurrence_support(spark, folder):
     """REX-05 per collection."""
-    chunks, labels = _keyed(spark, folder)
+    chunks, labels = keyed(spark, folder)
     s = R.cooccurrence_support(R.label_presence(chunks, labels, ("collection_id",)), ("collection_id",))
     return s.withColumn("support", F.round("support", 6))
 
 
 def concept_doc_frequency(spark, folder):
     """REX-06: documents of its collection that hold a concept's label."""
-    chunks, labels = _keyed(spark, folder)
+    chunks, labels = keyed(spark, folder)
     p = R.label_presence(chunks, labels, ("collection_id",)).groupBy("collection_id", "term").agg(F.count_distinct("document_id").alias("df"))
     return labels.join(p, ["collection_id", "term"], "left").na.fill(0, ["df"])
 
@@ -88,8 +88,8 @@ def cluster_centroids(spark, folder):
 
 
 def parent_ranking(spark, folder):
-    """VEC-05/06: rank and membership of the parent pool."""
-    r = V.rank_parents(_vectors(spark, folder))
+    """VEC-05/06: quality and membership of the parent pool; these vectors have no labels."""
+    r = V.parent_quality(_vectors(spark, folder))
     pool = V.parent_pool(r).select("id", F.lit(True).alias("in_pool"))
     return r.select("cluster", "id", "quality").join(pool, "id", "left").select("cluster", "id", "quality", F.coalesce("in_pool", F.lit(False)).alias("in_pool"))
 
@@ -104,8 +104,8 @@ def embedding_hierarchy_edges(spark, folder):
     """VEC-01, VEC-08..11 over the concepts of each collection and language, with hashed label vectors."""
     c = spark.read.parquet(f"{folder}/concepts.parquet")
     group = F.concat_ws("/", "collection_id", X.normalize_lang(F.coalesce("lang", F.lit(""))))
-    v = c.select("id", F.lower("canonical").alias("label"), V.hashed_embedding(F.col("canonical")).alias("vector"), group.alias("cluster"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return V.embedding_hierarchy(v)
+    v = c.select("collection_id", "id", F.lower("canonical").alias("term"), V.hashed_embedding(F.col("canonical")).alias("vector"), group.alias("cluster"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return V.embedding_hierarchy(v.join(concept_doc_frequency(spark, folder), ["collection_id", "term"], "left").withColumnRenamed("term", "label"))
 
 
 def kmeans_clusters(spark, folder):
@@ -128,7 +128,7 @@ def _enum(e: str) -> str:
     return rf"string_split(regexp_replace({e}, '\s*,\s*|\s+(?:and|or|и|или|және|немесе)\s+', chr(1), 'g'), chr(1))"
 
 
-_CONTAIN = f"""WITH {CHUNKS}, k AS (SELECT c.*, d.collection_id FROM chunks c JOIN documents d ON d.document_id = c.document_id), labels AS (SELECT DISTINCT collection_id, lower(canonical) AS term FROM concepts),
+CONTAIN = f"""WITH {CHUNKS}, k AS (SELECT c.*, d.collection_id FROM chunks c JOIN documents d ON d.document_id = c.document_id), labels AS (SELECT DISTINCT collection_id, lower(canonical) AS term FROM concepts),
 ph AS (SELECT DISTINCT collection_id, chunk_id, document_id, term FROM (SELECT collection_id, chunk_id, document_id, unnest({S.phrases('text', 5)}) AS term FROM k)),
 pres AS MATERIALIZED (SELECT ph.* FROM ph JOIN labels l ON l.collection_id = ph.collection_id AND l.term = ph.term)"""
 _VEC = """WITH v AS (SELECT vec_id AS id, label AS cluster, embedding FROM embeddings), d AS (SELECT id, cluster, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM v),
@@ -158,11 +158,11 @@ s AS (SELECT phrase, label, len(list_intersect(pt.t, lt.t))::DOUBLE / len(list_d
 o AS (SELECT phrase, label, overlap, 0 AS stage, overlap AS value FROM s WHERE overlap >= 0.62
   UNION ALL SELECT phrase, label, overlap, 1, part + 0.35::DOUBLE * ratio FROM s WHERE overlap < 0.62 AND part >= 0.6 AND ratio >= 0.72 AND length(phrase) >= 5 AND length(label) >= 5 AND (contains(phrase, label) OR contains(label, phrase)))
 SELECT phrase, label, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY stage, value DESC, label) AS k FROM o) WHERE k = 1""",
-    "pair_cooccurrence_support": _CONTAIN + """, n AS (SELECT collection_id, term, count(*) AS n FROM pres GROUP BY ALL),
+    "pair_cooccurrence_support": CONTAIN + """, n AS (SELECT collection_id, term, count(*) AS n FROM pres GROUP BY ALL),
 p AS (SELECT a.collection_id, a.term AS a, b.term AS b, count(*) AS n FROM pres a JOIN pres b ON b.collection_id = a.collection_id AND b.chunk_id = a.chunk_id AND a.term < b.term GROUP BY ALL)
 SELECT p.collection_id, a, b, p.n, round(least(1, p.n::DOUBLE / max(p.n) OVER (PARTITION BY p.collection_id) * (1 / (1 + 0.02::DOUBLE * greatest(x.n + y.n - 4, 0)))), 6) AS support
 FROM p JOIN n x ON x.collection_id = p.collection_id AND x.term = a JOIN n y ON y.collection_id = p.collection_id AND y.term = b""",
-    "concept_doc_frequency": _CONTAIN + " SELECT l.collection_id, l.term, count(DISTINCT document_id) AS df FROM labels l LEFT JOIN pres p ON p.collection_id = l.collection_id AND p.term = l.term GROUP BY ALL",
+    "concept_doc_frequency": CONTAIN + " SELECT l.collection_id, l.term, count(DISTINCT document_id) AS df FROM labels l LEFT JOIN pres p ON p.collection_id = l.collection_id AND p.term = l.term GROUP BY ALL",
     "cluster_centroids": _VEC + " SELECT cluster, CAST(d AS INT) AS d, round(x, 5) AS x FROM c",
     "parent_ranking": _RANKED + " SELECT r.cluster, r.id, r.quality, p.id IS NOT NULL AS in_pool FROM r LEFT JOIN pool p ON p.id = r.id",
     "embedding_parents": _RANKED + """, kid AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM pool)),

@@ -165,8 +165,21 @@ def test_scores(spark):
 
 
 def test_assignment_of_parents():
-    options = [("a", "p", 0.9, 0.5), ("a", "q", 0.85, 0.5), ("b", "p", 0.8, 0.0), ("b", "q", 0.7, 0.0), ("c", "p", 0.55, 0.3), ("c", "q", 0.1, 0.0), ("d", "p", 0.2, 0.9)]
-    got = W.assign_parents(options, 0.6, 1)
-    assert got[:2] == [("a", "p", 0.9, "embedding_clustering"), ("b", "q", 0.7, "embedding_clustering")]
-    assert ("a", "q", 0.85, "embedding_clustering_secondary_parent") in got and ("c", "p", 0.55, "embedding_clustering_relaxed") in got and not any(r[0] == "d" for r in got)
+    options = [("a", "p", 0.9, 0.5, False), ("a", "q", 0.85, 0.5, False), ("b", "p", 0.8, 0.0, False), ("b", "q", 0.7, 0.0, False), ("c", "p", 0.55, 0.3, False), ("c", "q", 0.1, 0.0, False), ("d", "p", 0.2, 0.9, False), ("w", "p", 0.99, 0.9, True)]
+    # a takes p and straight after it q, so b finds no room and falls back to its best
+    assert W.assign_parents(options, 0.6, 1) == [("a", "p", 0.9, "embedding_clustering"), ("a", "q", 0.85, "embedding_clustering_secondary_parent"), ("b", "p", 0.8, "embedding_clustering"), ("c", "p", 0.55, "embedding_clustering_relaxed")]
+    assert ("c", "p", 0.55, "embedding_clustering_relaxed") in W.assign_parents(options, 0.6, 2) and not any(r[0] in "dw" for r in W.assign_parents(options, 0.6, 2))
     assert W.assign_parents([], 0.6, 1) == []
+
+
+def test_labels_decide_who_is_a_parent(spark):
+    rows = [("1", "battery storage", 9, 0.2), ("2", "solar battery", 4, 0.2), ("3", "thing", 2, 0.9), ("4", "battery", 1, 0.5), ("5", "battery pack unit", 0, 0.1), ("6", "kw", 9, 0.9), ("7", None, None, None)]
+    v = spark.createDataFrame([(i, lab, df, s, [1.0, 0.0], "c") for i, lab, df, s in rows], "id string, label string, df int, score double, vector array<double>, cluster string")
+    got = {r["id"]: r for r in W.parent_quality(v).collect()}
+    share = {w: sum(w in (lab or "").split() for _, lab, _, _ in rows) / 7 for w in ("battery", "storage", "solar", "thing", "kw")}
+    assert got["1"]["quality"] == pytest.approx(0.2 + 0.35 + 0.35) and share["battery"] > 0.55 and (share["battery"] + share["storage"]) / 2 < 0.55
+    assert got["4"]["quality"] == pytest.approx(0.5 + 0.35 + 0.06 - 0.28 - 0.20) and got["3"]["quality"] <= 0.9 + 0.35 + 0.35 - 0.28 - 0.22
+    assert {i for i, r in got.items() if r["fit"]} == {"1", "2"}
+    assert {r["id"] for r in W.parent_pool(W.parent_quality(v)).collect()} == {"1", "2"}
+    alone = W.parent_pool(W.parent_quality(v.filter("id <> '2'")))
+    assert alone.count() == 5 and W.embedding_hierarchy(v.limit(0)).count() == 0
