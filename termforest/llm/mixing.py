@@ -21,11 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termforest.llm.cutoff import closest_cutoffs, score_frequencies
+from termforest.operators.joins import spread_join
 from termforest.session import cut
 
 CLASSES = 8
@@ -129,8 +130,13 @@ def weighted(records: DataFrame) -> DataFrame:
     return records.select("record", "source", F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"), F.round(F.log2(w) * CLASSES).cast("int").alias("class"))
 
 
-def shared_text_weight(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``weight`` = 1 / number of rows with the same text, so that repeated texts are used as often as others."""
-    keyed = df.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(F.lit(1), text))
+def text_keys(text: str) -> tuple[Column, Column]:
+    """``_k1`` and ``_k2``, 128 bits in all, that stand for a text."""
+    return F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")
+
+
+def shared_text_weight(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (with :func:`text_keys`) with ``weight`` = 1 / number of rows with the same text, so that repeated texts
+    are used as often as others."""
     copies = keyed.groupBy("_k1", "_k2").agg(F.count("*").alias("_n"))
-    return keyed.join(copies, ["_k1", "_k2"]).withColumn("weight", 1.0 / F.col("_n")).drop("_k1", "_k2", "_n")
+    return spread_join(keyed, copies, ["_k1", "_k2"], ["record"]).withColumn("weight", 1.0 / F.col("_n")).drop("_k1", "_k2", "_n")

@@ -10,7 +10,7 @@ from termforest.llm.cutoff import closest_cutoffs, score_frequencies
 from termforest.llm.distinctive import term_scores
 from termforest.llm.langid import fit_language_model, label_languages, language_code
 from termforest.llm.leakage import leaked_items
-from termforest.llm.mixing import default_vocabulary, mix_sources, shared_text_weight, token_counter
+from termforest.llm.mixing import default_vocabulary, mix_sources, shared_text_weight, text_keys, token_counter
 from termforest.llm.reading import fit_reading_model, score_texts, with_levels
 from termforest.llm.split import oversized, spans_of
 from termforest.llm.topn import top_items
@@ -140,9 +140,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = shared_text_weight(_table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
     count = token_counter(default_vocabulary())
-    return docs.select(F.col("doc_id").alias("record"), "source", count(F.col("text")).alias("size"), "weight"), _table(spark, folder, "mix_targets")
+    # sizes and keys are taken where the texts lie, so no text is moved
+    docs = _table(spark, folder, "documents").select(F.col("doc_id").alias("record"), "source", count(F.col("text")).alias("size"), *text_keys("text"))
+    return shared_text_weight(docs), _table(spark, folder, "mix_targets")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
