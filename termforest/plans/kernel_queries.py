@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from termforest.operators import build as B
 from termforest.operators import kernels as K
 from termforest.operators import terms as T
 from termforest.plans.term_queries import chunks_of
@@ -45,7 +46,33 @@ def _hubs(edges, nodes):
     return K.trim_hubs(edges, nodes, 5, frozenset(e.key for e in K.protected_edges(edges, nodes)))
 
 
+def _candidates(spark, folder):
+    """All scored candidates as edges with their evidence, and the nodes, for a build of every version."""
+    c = spark.read.parquet(f"{folder}/taxonomy_edge_candidates.parquet").filter("parent_concept_id is not null and child_concept_id is not null and base_score is not null and not isnan(base_score)")
+    value = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    row = F.struct(F.col("base_score").alias("score"), "method", value(F.try_element_at("feature_vector", F.lit("similarity"))).alias("sim"), value(F.col("evidence_score")).alias("sem"), value(F.get_json_object("evidence", "$.cooccurrence_support").cast("double")).alias("cooc"))
+    best = c.groupBy(F.col("taxonomy_version_id").alias("grp"), F.col("parent_concept_id").alias("parent"), F.col("child_concept_id").alias("child")).agg(F.max_by(row, F.struct("base_score", "id")).alias("b"))
+    _, nodes = graph(spark, folder)
+    rows = best.select("grp", "parent", "child", "b.*").withColumn("rank", F.col("score")).withColumn("rejected", F.lit(False)).withColumn("method", F.coalesce("method", F.lit("unknown")))
+    known = nodes.select("grp", "node")
+    return rows.join(known.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_semi").join(known.withColumnRenamed("node", "child"), ["grp", "child"], "left_semi"), nodes
+
+
+def built_hierarchies(spark, folder):
+    """ED-17..25: the edges that a build of every version ends with."""
+    rows = B.build_hierarchies(*_candidates(spark, folder)).filter("kind = 'edge'")
+    return rows.select(F.col("grp").alias("taxonomy_version_id"), "parent", "child", F.round("score", 4).alias("score"), "method")
+
+
+def build_decisions(spark, folder):
+    """ED-16, AGG-18: decisions of the builds by stage, method and reason."""
+    log = B.build_hierarchies(*_candidates(spark, folder)).filter("kind = 'log'")
+    return log.groupBy(F.col("grp").alias("taxonomy_version_id"), "stage", "method", "decision", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "built_hierarchies": built_hierarchies, "build_decisions": build_decisions,
+    "lexical_fallback": _step(partial(B.lexical_links, most=1000)), "semantic_fallback": _step(partial(B.semantic_links, most=1000)), "anchor_bridges": _step(partial(B.anchor_links, most=1000, target=1.0)),
     "dag_projection": _step(K.remove_cycles), "spanning_forest": _step(K.spanning_forest), "protected_edges": _step(K.protected_edges), "hub_trim": _step(_hubs),
     "connectivity_repair": _step(_repair), "orphan_links": _step(K.link_orphans), "component_bridges": _step(K.bridge_components), "root_consolidation": _step(K.consolidate_roots),
     "orientation_sanity": _step(K.orient_edges), "global_selector": _step(K.select_edges, accepted_only=False),
