@@ -95,7 +95,7 @@ def content_tokens(c: str | Column) -> Column:
     return F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~is_noise_token(t))
 
 
-def ngrams(array: Column, n: int) -> Column:
+def ngrams(array: Column, n: int | Column) -> Column:
     """Adjacent ``n`` elements joined by a blank."""
     count = F.size(array) - n + 1
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(array, i, n), " "))).otherwise(F.array().cast("array<string>"))

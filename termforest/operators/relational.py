@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termforest.operators.hierarchy import chains_of
+
 
 def latest_by(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """REL-06: the newest row of each key; at one time the greater tie key. A single aggregation, without a sort."""
@@ -85,13 +87,15 @@ def ranker_scores(model, rows: DataFrame, least: float = 0.40) -> DataFrame:
     return model.transform(rows).withColumn("ranker_score", F.when(F.greatest(p[0], p[1]) >= least, p[1])).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def lineage(df: DataFrame, key: str, previous: str, rounds: int = 6) -> DataFrame:
-    """MUT-04: (k, origin, steps): the first row each row goes back to; ``rounds`` doublings cover 2 ** rounds steps."""
-    state = df.select(F.col(key).alias("k"), F.coalesce(previous, key).alias("origin"), F.col(previous).isNotNull().cast("int").alias("steps"))
-    for _ in range(rounds):
-        far = state.select(F.col("k").alias("origin"), F.col("origin").alias("o2"), F.col("steps").alias("s2"))
-        state = state.join(far, "origin", "left").select("k", F.coalesce("o2", "origin").alias("origin"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"))
-    return state
+def lineage(df: DataFrame, key: str, previous: str) -> DataFrame:
+    """MUT-04: (k, origin, steps): the first row each row goes back to, however long ago, by pointer doubling.
+
+    A row whose predecessor is no row of ``df`` goes back to that name; one that goes back to itself has no origin.
+    """
+    links = df.select(F.lit(0).alias("scope"), F.col(previous).alias("parent"), F.col(key).alias("child")).dropna().distinct()
+    found = chains_of(links, False).select(F.col("node").alias("k"), F.col("root").alias("origin"), F.col("depth").alias("steps"))
+    own = df.select(F.col(key).alias("k"), F.col(previous).isNull().alias("_first")).dropna(subset=["k"]).distinct()
+    return own.join(found, "k", "left").select("k", F.when(F.col("_first"), F.col("k")).otherwise(F.col("origin")).alias("origin"), F.when(F.col("_first"), 0).otherwise(F.col("steps")).alias("steps"))
 
 
 def first_rank(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -124,9 +124,9 @@ def concept_relations(chunks: DataFrame, concepts: DataFrame, soft: bool = False
     return j.groupBy(F.col("p").alias("parent"), F.col("c").alias("child")).agg(F.max(F.round(score, 4)).alias("score"), F.sum("support").alias("support"))
 
 
-def label_presence(chunks: DataFrame, labels: DataFrame, keys: tuple[str, ...] = (), longest: int = 5) -> DataFrame:
+def label_presence(chunks: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, chunk_id, document_id, term): which labels a chunk holds."""
-    return phrase_hits(chunks, labels, longest, keys).drop("hits")
+    return phrase_hits(chunks, labels, keys).drop("hits")
 
 
 def cooccurrence_support(presence: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -145,7 +145,7 @@ def cooccurrence_support(presence: DataFrame, keys: tuple[str, ...] = ()) -> Dat
     return pairs.select(*keys, "a", "b", "n", F.least(F.lit(1.0), value).alias("support"))
 
 
-def trigger_pairs(chunks: DataFrame, labels: DataFrame, longest: int = 5) -> DataFrame:
+def trigger_pairs(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     """REX-03: (lang, parent, child, score, support) of similar labels in one chunk that holds a trigger phrase.
 
     The label in two documents more is the parent, else the one of fewer words, else the more frequent, then the smaller.
@@ -153,8 +153,8 @@ def trigger_pairs(chunks: DataFrame, labels: DataFrame, longest: int = 5) -> Dat
     """
     announced = X.any_of([(F.col("lang") == lang) & F.lower("text").contains(t) for lang, ts in TRIGGERS.items() for t in ts])
     fit = labels.select("term").filter((F.length("term") >= 3) & (F.size(X.tokens("term")) <= 5))
-    df = phrase_hits(chunks, fit, longest).groupBy("term").agg(F.count_distinct("document_id").alias("df"))
-    found = phrase_hits(chunks.filter(announced), fit, longest, ()).drop("hits").join(chunks.select("chunk_id", "lang"), "chunk_id").join(df, "term").withColumn("n", F.size(X.tokens("term")))
+    df = phrase_hits(chunks, fit).groupBy("term").agg(F.count_distinct("document_id").alias("df"))
+    found = phrase_hits(chunks.filter(announced), fit).drop("hits").join(chunks.select("chunk_id", "lang"), "chunk_id").join(df, "term").withColumn("n", F.size(X.tokens("term")))
     side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("term", "df", "n")]
     pairs = found.select("lang", "chunk_id", *side("a")).join(found.select("lang", "chunk_id", *side("b")), ["lang", "chunk_id"]).filter("a_term < b_term")
     pairs = pairs.groupBy("lang", "a_term", "b_term", "a_df", "b_df", "a_n", "b_n").agg(F.count("*").alias("support"))
@@ -168,12 +168,12 @@ def trigger_pairs(chunks: DataFrame, labels: DataFrame, longest: int = 5) -> Dat
     return rows.select("lang", F.when(F.col("first"), F.col("a_term")).otherwise(F.col("b_term")).alias("parent"), F.when(F.col("first"), F.col("b_term")).otherwise(F.col("a_term")).alias("child"), F.round(score, 4).alias("score"), "support")
 
 
-def evidence_snippets(chunks: DataFrame, labels: DataFrame, k: int = 5, longest: int = 5) -> DataFrame:
+def evidence_snippets(chunks: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """REX-07: the sentences of the first ``k`` uses of each label, one of each document first (a report of that size).
 
     A sentence is cut to 600 characters, as published.
     """
-    found = occurrences(chunks, labels, k, longest).select("term", "rank", "chunk_id", "document_id", "snippet").join(chunks.select("chunk_id", "lang"), "chunk_id")
+    found = occurrences(chunks, labels, k).select("term", "rank", "chunk_id", "document_id", "snippet").join(chunks.select("chunk_id", "lang"), "chunk_id")
     return found.select("term", "rank", "document_id", "lang", F.substring("snippet", 1, 600).alias("snippet"))
 
 

@@ -84,20 +84,36 @@ def merge_scores(a: DataFrame, b: DataFrame, alpha: float = 0.6) -> DataFrame:
     return both.select("term", F.round(alpha * F.coalesce("x", F.lit(0.0)) + (1 - alpha) * F.coalesce("y", F.lit(0.0)), 4).alias("score"))
 
 
-def phrase_hits(chunks: DataFrame, terms: DataFrame, longest: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+PLAIN = r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*$"
+
+
+def phrase_hits(chunks: DataFrame, terms: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, chunk_id, document_id, term, hits): whole-term uses of ``terms`` (column ``term``) in each chunk.
 
-    An equality join of the phrases of a chunk with the terms; ``keys`` must agree too (a collection, say). Phrases are
-    counted per chunk before they are shuffled.
+    Terms of words with single blanks are found by an equality join with the phrases of a chunk, as long as the longest
+    term; phrases are counted per chunk before they are shuffled. Terms with other characters (hyphens, apostrophes) are
+    joined by their first word and then searched for in the texts that hold it; a term without a word is found nowhere.
+    ``keys`` must agree too (a collection, say).
     """
-    found = chunks.select(*keys, "chunk_id", "document_id", F.explode(X.phrases("text", longest)).alias("term"))
     wanted = terms.select(*keys, "term").distinct()
-    return found.join(wanted, [*keys, "term"]).groupBy(*keys, "chunk_id", "document_id", "term").agg(F.count("*").alias("hits"))
-
-
-def term_frequencies(chunks: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
+    is_plain = F.col("term").rlike(PLAIN)
+    longest, n_odd = terms.agg(F.max(F.when(is_plain, F.size(F.split("term", " ")))), F.count_if(~is_plain)).first()
+    plain = wanted.filter(is_plain)
+    found = chunks.select(*keys, "chunk_id", "document_id", F.explode(X.phrases("text", longest or 1)).alias("term"))
+    by_phrase = found.join(plain, [*keys, "term"]).groupBy(*keys, "chunk_id", "document_id", "term").agg(F.count("*").alias("hits"))
+    if not n_odd:
+        return by_phrase
+    odd = wanted.filter(~is_plain).withColumn("_w", F.get(X.tokens("term"), F.lit(0))).dropna(subset=["_w"])
+    holds = chunks.select(*keys, "chunk_id", F.explode(F.array_distinct(X.tokens("text"))).alias("_w")).join(odd, [*keys, "_w"])
+    texts = holds.drop("_w").join(chunks.select(*keys, "chunk_id", "document_id", F.lower("text").alias("_t")), [*keys, "chunk_id"])
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower("term"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    hits = F.size(F.regexp_extract_all("_t", whole, F.lit(0)))
+    return by_phrase.unionByName(texts.select(*keys, "chunk_id", "document_id", "term", hits.cast("bigint").alias("hits")).filter("hits > 0"))
+
+
+def term_frequencies(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, tf, df) of every term; 0 for terms without a hit."""
-    hits = phrase_hits(chunks, terms, longest)
+    hits = phrase_hits(chunks, terms)
     per_doc = hits.groupBy("term", "document_id").agg(F.sum("hits").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     return terms.select("term").distinct().join(per_doc, "term", "left").na.fill(0, ["tf", "df"])
 
@@ -129,9 +145,9 @@ def words_in(term: str = "term") -> Column:
     return F.size(F.split(term, " "))
 
 
-def cvalue(frequencies: DataFrame, longest: int = 4) -> DataFrame:
+def cvalue(frequencies: DataFrame) -> DataFrame:
     """(term, cvalue) of (term, tf): a term inside longer ones loses their mean frequency."""
-    parts = F.flatten(F.array(*[X.ngrams(F.split("term", " "), n) for n in range(1, longest)]))
+    parts = X.let(F.split("term", " "), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: X.ngrams(w, n))))
     inside = frequencies.select(F.col("term").alias("longer"), F.col("tf").alias("f"), F.explode(F.array_distinct(parts)).alias("term")).filter("longer <> term")
     outer = inside.groupBy("term").agg(F.avg("f").alias("mean_longer"))
     base = F.when(F.col("mean_longer").isNull(), F.col("tf").cast("double")).otherwise(F.greatest(F.lit(0.0), F.col("tf") - F.col("mean_longer")))
@@ -243,14 +259,14 @@ def locate(text: str, term: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def occurrences(chunks: DataFrame, terms: DataFrame, per_term: int = 80, longest: int = 4) -> DataFrame:
+def occurrences(chunks: DataFrame, terms: DataFrame, per_term: int = 80) -> DataFrame:
     """Located uses of terms, one of each document first, at most ``per_term`` of a term (a feature of the report)."""
     @F.pandas_udf(_hit_type())
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, lists in batches:
             yield pd.Series([[{"term": t, "start": a, "stop": b, "snippet": s} for t in ts for a, b, s in locate(x, t)] for x, ts in zip(texts, lists)], dtype=object)
 
-    per_chunk = phrase_hits(chunks, terms, longest).groupBy("chunk_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    per_chunk = phrase_hits(chunks, terms).groupBy("chunk_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     hits = chunks.join(per_chunk, "chunk_id").select("chunk_id", "document_id", "chunk_index", F.explode(find("text", "terms")).alias("h")).select("chunk_id", "document_id", "chunk_index", "h.*")
     order = ["document_id", "chunk_index", "chunk_id", "start"]
     first = hits.withColumn("nth", F.row_number().over(Window.partitionBy("term", "document_id").orderBy(*order[1:])))

@@ -33,7 +33,7 @@ def _label_df(spark, folder):
     """Document frequency of every parent and child label."""
     c = candidates(spark, folder)
     labels = c.select(F.lower("parent_label").alias("term")).union(c.select(F.lower("child_label"))).dropna().distinct()
-    return T.term_frequencies(chunks_of(spark, folder), labels, 5)
+    return T.term_frequencies(chunks_of(spark, folder), labels)
 
 
 def _scored(spark, folder):
@@ -53,7 +53,7 @@ def _scored(spark, folder):
 def parent_validity(spark, folder):
     """ED-03/04 of every concept label with its document frequency."""
     labels = spark.read.parquet(f"{folder}/concepts.parquet").select(F.lower("canonical").alias("term")).distinct()
-    f = T.term_frequencies(chunks_of(spark, folder), labels, 5)
+    f = T.term_frequencies(chunks_of(spark, folder), labels)
     return f.select("term", "df", F.round(E.parent_validity(F.col("term"), F.col("df")), 4).alias("validity"), E.is_valid_parent(F.col("term"), F.col("df")).alias("valid"))
 
 
@@ -208,7 +208,7 @@ def method_distribution(spark, folder):
 def _judged_nodes(spark, folder):
     """Nodes with the document frequency of their label in their collection and whether they are candidates."""
     chunks, labels = keyed(spark, folder)
-    df = T.phrase_hits(chunks, labels, 5, ("collection_id",)).groupBy("collection_id", "term").agg(F.count_distinct("document_id").alias("df"))
+    df = T.phrase_hits(chunks, labels, ("collection_id",)).groupBy("collection_id", "term").agg(F.count_distinct("document_id").alias("df"))
     v = spark.read.parquet(f"{folder}/taxonomy_versions.parquet").select(F.col("id").alias("grp"), "collection_id")
     c = spark.read.parquet(f"{folder}/concepts.parquet").select("collection_id", F.col("id").alias("node"), "canonical", F.lower("canonical").alias("term"), X.normalize_lang(F.coalesce("lang", F.lit(""))).alias("lang"))
     return cut(V.candidate_nodes(v.join(c.join(df, ["collection_id", "term"], "left"), "collection_id").drop("collection_id", "term").na.fill(0, ["df"])))

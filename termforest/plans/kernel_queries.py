@@ -21,7 +21,7 @@ def graph(spark, folder, accepted_only=True):
     best = c.groupBy(F.col("taxonomy_version_id").alias("grp"), F.col("parent_concept_id").alias("parent"), F.col("child_concept_id").alias("child")).agg(F.max_by(F.struct(F.col("final_score").alias("score"), "method"), F.struct("final_score", "id")).alias("b"))
     versions = spark.read.parquet(f"{folder}/taxonomy_versions.parquet").select(F.col("id").alias("grp"), "collection_id")
     concepts = spark.read.parquet(f"{folder}/concepts.parquet").select("collection_id", F.col("id").alias("node"), F.lower("canonical").alias("label"), "score")
-    df = T.term_frequencies(chunks_of(spark, folder), concepts.select(F.col("label").alias("term")), 5).select(F.col("term").alias("label"), "df")
+    df = T.term_frequencies(chunks_of(spark, folder), concepts.select(F.col("label").alias("term"))).select(F.col("term").alias("label"), "df")
     nodes = cut(versions.join(concepts, "collection_id").join(df, "label", "left").select("grp", "node", "label", "df", "score"))
     edges = best.select("grp", "parent", "child", "b.*")
     return K.with_rank(edges, nodes), K.node_table(nodes)

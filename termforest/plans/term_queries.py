@@ -110,11 +110,11 @@ def _labels(spark, folder):
 
 def term_frequencies(spark, folder):
     """TERM-05/06: whole-term frequency and document frequency of every concept label."""
-    return T.term_frequencies(chunks_of(spark, folder), _labels(spark, folder), 5)
+    return T.term_frequencies(chunks_of(spark, folder), _labels(spark, folder))
 
 
 def cvalue_scores(spark, folder):
-    return T.cvalue(T.term_frequencies(chunks_of(spark, folder), _labels(spark, folder), 5), 5)
+    return T.cvalue(T.term_frequencies(chunks_of(spark, folder), _labels(spark, folder)))
 
 
 def pmi_scores(spark, folder):
@@ -129,20 +129,20 @@ def _concept_scores(spark, folder):
 def refined_scores(spark, folder):
     """TERM-09 over the concept labels and their scores."""
     c, s = chunks_of(spark, folder), _concept_scores(spark, folder)
-    r = T.refine(s, T.term_frequencies(c, s, 5), T.token_frequencies(c))
+    r = T.refine(s, T.term_frequencies(c, s), T.token_frequencies(c))
     return r.select("term", "refined")
 
 
 def subsumed_singles(spark, folder):
     """TERM-11: labels that stay."""
     c, s = chunks_of(spark, folder), _concept_scores(spark, folder)
-    return T.suppress_subsumed(s.select("term", "score"), T.term_frequencies(c, s, 5)).select("term", "score", "df")
+    return T.suppress_subsumed(s.select("term", "score"), T.term_frequencies(c, s)).select("term", "score", "df")
 
 
 def term_quality_filter(spark, folder):
     """TERM-10/12 over the concept labels."""
     c, s = chunks_of(spark, folder), _concept_scores(spark, folder)
-    kept = T.quality_filter(s, T.term_frequencies(c, s, 5), c.agg(F.count_distinct("document_id")).scalar(), min_quality=0.2)
+    kept = T.quality_filter(s, T.term_frequencies(c, s), c.agg(F.count_distinct("document_id")).scalar(), min_quality=0.2)
     return kept.select("term", "df", F.round("quality", 4).alias("quality"))
 
 
@@ -154,7 +154,7 @@ def term_dedupe_surface_forms(spark, folder):
 
 def term_occurrences(spark, folder):
     """TERM-14: located uses of the concept labels."""
-    return T.occurrences(chunks_of(spark, folder), _labels(spark, folder), 20, 5)
+    return T.occurrences(chunks_of(spark, folder), _labels(spark, folder), 20)
 
 
 def terms_pipeline(spark, folder):

@@ -59,3 +59,13 @@ def test_pipeline_runs_on_little(spark):
     text = "Battery storage supports the grid. Commercial bank lends to grid operators. "
     out = T.extract_terms(chunks(spark, text, text, text + "Solar"), 50).collect()
     assert "battery storage" in {r["term"] for r in out} and out[0]["quality"] == pytest.approx(out[0]["quality"])
+
+
+def test_terms_of_any_length_and_sign_are_found(spark):
+    long = "one two three four five six seven eight"
+    text = f"The State-of-the-Art kit isn't {long}; state-of-the-art again, {long} nine. C3PO (x) isn't it?"
+    chunks = spark.createDataFrame([("c", "d", text), ("e", "d", None), ("f", "g", "")], "chunk_id string, document_id string, text string")
+    terms = [("state-of-the-art",), ("isn't",), (long,), ("kit",), ("state-of",), ("(x)",), ("--",), ("absent-minded",), (None,), (long + " nine",)]
+    got = {r["term"]: r["hits"] for r in T.phrase_hits(chunks, spark.createDataFrame(terms, "term string")).collect()}
+    assert got == {"state-of-the-art": 2, "isn't": 2, long: 2, "kit": 1, "state-of": 2, "(x)": 1, long + " nine": 1}
+    assert T.phrase_hits(chunks, spark.createDataFrame([], "term string")).count() == 0
