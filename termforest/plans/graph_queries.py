@@ -85,6 +85,15 @@ def risk_scores(spark, folder):
     return s.select("id", F.round(r, 9).alias("risk"))
 
 
+def edge_min_scores(spark, folder):
+    """ED-01/02, ED-08/09: method, weight and least scores of every candidate, without and with recovery."""
+    none = F.lit(None).cast("double")
+    c = candidates(spark, folder).withColumn("evidence", F.array(F.struct(F.lit(None).cast("string").alias("method")), F.struct("method")))
+    c = c.select("id", E.method_of(F.col("evidence")).alias("method"))
+    c = c.withColumn("weight", E.method_weight(F.col("method")).cast("double")).withColumn("least", E.min_score(F.col("method"), none, 0.64).cast("double"))
+    return c.withColumn("least_in_recovery", F.round(E.connectivity_min_score(F.col("method"), F.col("least")), 6))
+
+
 def method_thresholds(spark, folder):
     """AGG-08."""
     c = candidates(spark, folder).select("method", F.col("base_score").alias("score")).filter("score is not null and not isnan(score)")
@@ -317,7 +326,7 @@ def rejection_reason_counts(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    parent_validity, blended_scores, edge_rejection_reasons, edge_features, risk_scores, method_thresholds, profile_thresholds, edge_dedupe_merge, collapse_bidirectional,
+    edge_min_scores, parent_validity, blended_scores, edge_rejection_reasons, edge_features, risk_scores, method_thresholds, profile_thresholds, edge_dedupe_merge, collapse_bidirectional,
     connected_components, component_ratio, degree_counts, cap_children_per_parent, hierarchy_roots, leaf_edges, orphan_concepts, bfs_depths, depth_limited_edges, tree_paths,
     tree_stats, graph_quality, structural_report, edge_confidence_stats, method_distribution, fragmentation_risk, manual_review_rates, cross_lang_consistency,
     version_quality_scores, active_learning_topk, rejection_reason_counts, candidate_coverage, connectivity_report, active_learning_summary, top_rejection_reasons, quality_reports,
@@ -400,6 +409,9 @@ SELECT id, CASE WHEN NOT valid THEN 'invalid_parent_label' WHEN validity < 0.42
 SELECT id, round(sem, 4) AS semantic_similarity, round(lex, 4) AS lexical_similarity, round(validity, 4) AS parent_validity, (dp - dc)::DOUBLE AS df_gap, (count(*) OVER (PARTITION BY v, parent_label))::DOUBLE AS parent_degree FROM s""",
     "risk_scores": _SCORED + """
 SELECT id, round(greatest(0, least(1, 0.35::DOUBLE * (1 - abs(2 * score - 1)) + 0.25::DOUBLE * greatest(0, 0.55::DOUBLE - validity) + 0.2::DOUBLE * (1 - lex) + CASE WHEN dp - dc < -1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN decision = 'rejected' THEN 0.1::DOUBLE ELSE 0 END)), 9) AS risk FROM s""",
+    "edge_min_scores": f"""WITH m AS (SELECT id, CASE WHEN length(method) > 0 THEN method ELSE 'unknown' END AS method FROM taxonomy_edge_candidates), w AS (SELECT id, method, CASE lower(method) {' '.join(f"WHEN '{k}' THEN {v}" for k, v in L.METHOD_WEIGHTS.items())} ELSE {L.OTHER_METHOD_WEIGHT} END::DOUBLE AS weight,
+  CASE method {' '.join(f"WHEN '{k}' THEN {min(0.64, v)}" for k, v in L.CONNECTIVITY_MIN_SCORES.items())} ELSE 0.64 END::DOUBLE AS least FROM m)
+SELECT id, method, weight, least, round(CASE WHEN method IN ({S.quoted(L.RECOVERY_METHODS)}) THEN greatest(0.48::DOUBLE, least - 0.05::DOUBLE) ELSE least END, 6) AS least_in_recovery FROM w""",
     "method_thresholds": "SELECT method, CASE WHEN count(*) < 4 THEN 0.64::DOUBLE ELSE greatest(0.45::DOUBLE, least(0.64::DOUBLE, round(quantile_cont(base_score, 0.45), 4))) END AS threshold, count(*) AS n FROM taxonomy_edge_candidates WHERE base_score IS NOT NULL AND NOT isnan(base_score) GROUP BY method",
     "profile_thresholds": """WITH c AS (SELECT id, method, decision, final_score, substring(lower(coalesce(lang, '')), 1, 2) AS lang FROM taxonomy_edge_candidates WHERE final_score IS NOT NULL AND NOT isnan(final_score)),
 a AS (SELECT lang, method, round(avg(final_score), 4) AS t FROM c WHERE decision = 'accepted' AND lang <> '' GROUP BY ALL HAVING count(*) >= 20), b AS (SELECT method, round(avg(final_score), 4) AS t FROM c WHERE decision = 'accepted' GROUP BY method)
