@@ -82,18 +82,29 @@ def hearst_pairs(chunks: DataFrame) -> DataFrame:
     return pairs.filter("parent <> child").groupBy("lang", "parent", "child").agg(F.count("*").alias("support"), F.count_distinct("document_id").alias("docs"))
 
 
+def _pairs(words: Column) -> Column:
+    """All pairs of different words, the smaller first, as texts with a blank, which no word holds."""
+    ordered = F.array_sort(words)
+    return X.let(ordered, lambda w: F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat(x, F.lit(" "), y)))))
+
+
 def closest_labels(phrases: DataFrame, labels: DataFrame, least: float = 0.62, least_overlap: float = 0.6, least_ratio: float = 0.72) -> DataFrame:
     """TXT-24: (phrase, label, overlap): the closest label of each phrase; ties to the smaller label.
 
     That is the label of the best token overlap, if it reaches ``least``; else, among labels that hold the phrase or stand
     in it, both of five characters or more, with ``least_overlap`` of the phrase's tokens, the best by that share and the
     ratio of equal characters, which is that of the shorter one where it stands in the longer. Either way the two share a
-    token, so an equality join over tokens finds all there are.
+    fixed part of the phrase's tokens. Where that is one token, they are found by an equality join over tokens; where it
+    is ``need`` of n, two are among any n - need + 2 of the phrase, so they are found by a join over pairs of tokens.
     """
     p = phrases.select("phrase").distinct().select("phrase", F.array_distinct(X.tokens("phrase")).alias("pt"))
     c = labels.select("label").distinct().select("label", F.array_distinct(X.tokens("label")).alias("lt"))
-    shared = p.select("phrase", F.size("pt").alias("np"), F.explode("pt").alias("t")).join(c.select("label", F.size("lt").alias("nl"), F.explode("lt").alias("t")), "t")
-    scored = shared.groupBy("phrase", "label", "np", "nl").agg(F.count("*").alias("k")).withColumn("overlap", F.col("k") / (F.col("np") + F.col("nl") - F.col("k")))
+    need = F.greatest(F.lit(1), F.ceil(F.size("pt") * min(least, least_overlap) - 1e-9))
+    some = F.when(need == 1, F.col("pt")).otherwise(_pairs(F.slice("pt", F.lit(1), (F.size("pt") - need + 2).cast("int"))))
+    asked = p.filter(F.size("pt") > 0).select("phrase", "pt", F.explode(some).alias("key"))
+    shared = asked.join(c.select("label", "lt", F.explode(F.concat("lt", _pairs(F.col("lt")))).alias("key")), "key")
+    counted = shared.select("phrase", "label", F.size("pt").alias("np"), F.size("lt").alias("nl"), F.size(F.array_intersect("pt", "lt")).alias("k"))
+    scored = counted.withColumn("overlap", F.col("k") / (F.col("np") + F.col("nl") - F.col("k")))
     inside = F.col("phrase").contains(F.col("label")) | F.col("label").contains(F.col("phrase"))
     sizes = (F.length("phrase"), F.length("label"))
     second = (F.length("phrase") >= 5) & (F.length("label") >= 5) & inside & (F.col("k") / F.col("np") >= least_overlap)
