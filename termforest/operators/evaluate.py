@@ -25,19 +25,22 @@ def method_distribution(edges: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys, F.coalesce("e.method", F.lit("unknown")).alias("method")).agg(F.count("*").alias("n"))
 
 
-def structure(nodes: DataFrame, edges: DataFrame, depths: DataFrame) -> DataFrame:
+def structure(nodes: DataFrame, edges: DataFrame, depths: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """EV-02: roots, leaves, orphans, depth, branching and coverage, per (grp, lang) and overall (lang null).
 
     ``nodes``: grp, node, lang; ``edges``: grp, parent, child; ``depths``: grp, node, depth. One pass of grouping sets.
+    With ``alone`` (grp, lang, n), the numbers of nodes without an edge, ``nodes`` are those with one.
     """
     p = edges.groupBy("grp", F.col("parent").alias("node")).agg(F.count("*").alias("out"))
     c = edges.groupBy("grp", F.col("child").alias("node")).agg(F.count("*").alias("inn"))
-    flags = nodes.join(p, ["grp", "node"], "left").join(c, ["grp", "node"], "left").join(depths, ["grp", "node"], "left").na.fill(0, ["out", "inn"])
+    flags = nodes.join(p, ["grp", "node"], "left").join(c, ["grp", "node"], "left").join(depths, ["grp", "node"], "left").na.fill(0, ["out", "inn"]).withColumn("n", F.lit(1).cast("bigint"))
+    if alone is not None:
+        flags = flags.unionByName(alone.select("grp", "lang", "n", F.lit(0).alias("out"), F.lit(0).alias("inn")), allowMissingColumns=True)
     out, inn = F.col("out"), F.col("inn")
     aggs = [
-        F.count("*").alias("n_nodes"), F.count_if((out > 0) & (inn == 0)).alias("n_roots"), F.count_if((out == 0) & (inn > 0)).alias("n_leaves"),
-        F.count_if((out == 0) & (inn == 0)).alias("n_orphans"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("depth"), F.lit(0.0)), 2).alias("avg_depth"),
-        F.round(F.coalesce(F.avg(F.when(out > 0, out)), F.lit(0.0)), 2).alias("avg_branching"), F.max(out).alias("max_branching"), F.round(F.count_if((out > 0) | (inn > 0)) / F.count("*"), 4).alias("coverage"),
+        F.sum("n").alias("n_nodes"), F.count_if((out > 0) & (inn == 0)).alias("n_roots"), F.count_if((out == 0) & (inn > 0)).alias("n_leaves"),
+        F.sum(F.when((out == 0) & (inn == 0), F.col("n")).otherwise(0)).alias("n_orphans"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.round(F.coalesce(F.avg("depth"), F.lit(0.0)), 2).alias("avg_depth"),
+        F.round(F.coalesce(F.avg(F.when(out > 0, out)), F.lit(0.0)), 2).alias("avg_branching"), F.max(out).alias("max_branching"), F.round(F.count_if((out > 0) | (inn > 0)) / F.sum("n"), 4).alias("coverage"),
     ]
     sets = [[F.col("grp"), F.col("_lang")], [F.col("grp")]]
     grouped = flags.withColumn("_lang", F.coalesce("lang", F.lit("unknown"))).groupingSets(sets, F.col("grp"), F.col("_lang")).agg(*aggs)
@@ -49,11 +52,18 @@ def candidate_nodes(nodes: DataFrame, min_df: int = 2) -> DataFrame:
     return nodes.withColumn("candidate", ~X.is_low_quality_label("canonical") & (F.coalesce("df", F.lit(0)) >= min_df))
 
 
-def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """SET-04: (grp, coverage, coverage_candidates): shares of all and of the candidate nodes that have an edge."""
+def coverage(nodes: DataFrame, edges: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """SET-04: (grp, coverage, coverage_candidates): shares of all and of the candidate nodes that have an edge.
+
+    With ``totals`` (grp, n_rows, n_candidates), the numbers of all nodes, ``nodes`` are those with an edge.
+    """
     ends = edges.select("grp", F.col("parent").alias("node")).union(edges.select("grp", "child")).distinct()
     flags = nodes.join(ends.withColumn("_linked", F.lit(1)), ["grp", "node"], "left")
     linked = F.col("_linked").isNotNull()
+    if totals is not None:
+        has = flags.groupBy("grp").agg(F.count_if(linked).alias("_n"), F.count_if(F.col("candidate") & linked).alias("_c"))
+        of = lambda x, n: F.coalesce(F.try_divide(F.coalesce(x, F.lit(0)), n), F.lit(0.0))
+        return totals.join(has, "grp", "left").select("grp", of(F.col("_n"), F.col("n_rows")).alias("coverage"), of(F.col("_c"), F.col("n_candidates")).alias("coverage_candidates"))
     share = F.coalesce(F.try_divide(F.count_if(F.col("candidate") & linked), F.count_if("candidate")), F.lit(0.0))
     return flags.groupBy("grp").agg((F.count_if(linked) / F.count("*")).alias("coverage"), share.alias("coverage_candidates"))
 
@@ -69,14 +79,20 @@ def risky_edges(edges: DataFrame, nodes: DataFrame, low: float = 0.62) -> DataFr
     return rows.withColumn("lexical_subset", subset).filter(subset | wider)
 
 
-def fragmentation(parts: DataFrame, edges: DataFrame, nodes: DataFrame, low: float = 0.62) -> DataFrame:
+def fragmentation(parts: DataFrame, edges: DataFrame, nodes: DataFrame, low: float = 0.62, totals: DataFrame | None = None) -> DataFrame:
     """EV-05: components, small and isolated ones, fragmentation index (components over nodes), weak and risky edges.
 
-    ``parts``: grp, node, component of the nodes of a graph; ends of edges that are no nodes belong to none.
+    ``parts``: grp, node, component of the nodes of a graph; ends of edges that are no nodes belong to none. With ``totals``
+    (grp, n_nodes), the numbers of all nodes, those that are in no part are a component each, and ``nodes`` need hold only
+    nodes with an edge.
     """
     sizes = parts.groupBy("grp", "component").agg(F.count("*").alias("size"))
     small = F.col("size") <= 2
     per = sizes.groupBy("grp").agg(F.count("*").alias("n_components"), F.count_if(small).alias("n_small"), F.count_if(F.col("size") == 1).alias("n_isolated"), F.sum("size").alias("n_nodes"), F.sum(F.when(small, F.col("size")).otherwise(0)).alias("in_small"))
+    if totals is not None:
+        counted = ("n_components", "n_small", "n_isolated", "in_small")
+        all_nodes = totals.filter("n_nodes > 0").select("grp", F.col("n_nodes").alias("_all")).join(per, "grp", "left").na.fill(0, [*counted, "n_nodes"])
+        per = all_nodes.select("grp", F.col("_all").alias("n_nodes"), *[(F.col(c) + F.col("_all") - F.col("n_nodes")).alias(c) for c in counted])
     weak = edges.groupBy("grp").agg(F.count("*").alias("n_edges"))
     known = nodes.select("grp", "node")
     inside = edges.filter(F.col("score") <= low).join(known.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_semi").join(known.withColumnRenamed("node", "child"), ["grp", "child"], "left_semi")

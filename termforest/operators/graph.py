@@ -62,6 +62,39 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return state.select("grp", "node", F.col("label").alias("component"))
 
 
+SMALL_GRAPH = 20_000
+
+
+def _joined(pairs: list) -> list[tuple[str, str]]:
+    """(node, smallest node of its component) of the edges of one graph."""
+    up: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [(n, find(n)) for n in up]
+
+
+def parts_of(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """As :func:`components` of the ends of ``edges``; graphs of up to ``small`` edges are each solved in one place."""
+    n = edges.groupBy("grp").agg(F.count("*").alias("_n"))
+    large = cut(n.filter(F.col("_n") > small).select("grp"))
+    any_large = bool(large.limit(1).count())
+    near = edges.join(large, "grp", "left_anti") if any_large else edges
+    solve = F.udf(_joined, "array<struct<node:string,component:string>>")
+    lists = near.groupBy("grp").agg(F.collect_list(F.struct("parent", "child")).alias("pairs"))
+    parts = lists.select("grp", F.explode(solve("pairs")).alias("x")).select("grp", "x.*")
+    return parts.unionByName(components(edges.join(large, "grp", "left_semi"))) if any_large else parts
+
+
 def largest_component_ratio(parts: DataFrame) -> DataFrame:
     """GR-04: (grp, n_nodes, n_components, largest, ratio)."""
     sizes = parts.groupBy("grp", "component").agg(F.count("*").alias("size"))
@@ -158,15 +191,16 @@ def tree_rows(edges: DataFrame) -> DataFrame:
     return rows.select("grp", "root", "node", (F.size("path") - 1).alias("depth"), "path")
 
 
-def graph_quality(edges: DataFrame, nodes: DataFrame, low_quality: DataFrame) -> DataFrame:
+def graph_quality(edges: DataFrame, nodes: DataFrame | None, low_quality: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """EV-01: per graph edge density, largest component ratio, hubness (largest over median out-degree), noise share.
 
-    ``nodes`` gives the concepts of a graph, ``low_quality`` (grp, n_noise) the noisy labels among its edge ends.
+    ``nodes`` gives the concepts of a graph, or ``counts`` (grp, n) their numbers, ``low_quality`` (grp, n_noise) the noisy
+    labels among its edge ends.
     """
-    n = nodes.select("grp", "node").distinct().groupBy("grp").agg(F.count("*").alias("n"))
+    n = nodes.select("grp", "node").distinct().groupBy("grp").agg(F.count("*").alias("n")) if counts is None else counts
     e = edges.groupBy("grp").agg(F.count("*").alias("n_edges"))
     hubs = edges.groupBy("grp", "parent").agg(F.count("*").alias("c")).groupBy("grp").agg((F.max("c") / F.median("c")).alias("hubness"))
-    parts = largest_component_ratio(components(edges)).select("grp", F.col("n_nodes").alias("linked"), "n_components", "largest")
+    parts = largest_component_ratio(parts_of(edges)).select("grp", F.col("n_nodes").alias("linked"), "n_components", "largest")
     out = n.join(e, "grp", "left").join(hubs, "grp", "left").join(parts, "grp", "left").join(low_quality, "grp", "left")
     zero = F.lit(0.0)
     return out.select(

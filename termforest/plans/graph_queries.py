@@ -13,7 +13,7 @@ from termforest.operators import terms as T
 from termforest.plans import sql as S
 from termforest.plans.relation_queries import CONTAIN, keyed
 from termforest.plans.term_queries import CHUNKS, _FREQ, chunks_of
-from termforest.session import cut
+from termforest.session import cut, store
 
 
 def candidates(spark, folder):
@@ -214,13 +214,25 @@ def method_distribution(spark, folder):
     return V.method_distribution(c, ["taxonomy_version_id"])
 
 
-def _judged_nodes(spark, folder):
-    """Nodes with the document frequency of their label in their collection and whether they are candidates."""
+def _judged(spark, folder):
+    """(edges, linked, concepts, homes): accepted links, their ends that are concepts, every concept of a collection with
+    the document frequency of its label there and whether it is a candidate, and the collection of each version.
+
+    Versions share the concepts of their collection, so only those with a link are there once for each version.
+    """
     chunks, labels = keyed(spark, folder)
-    df = T.phrase_hits(chunks, labels, ("collection_id",)).groupBy("collection_id", "term").agg(F.count_distinct("document_id").alias("df"))
-    v = spark.read.parquet(f"{folder}/taxonomy_versions.parquet").select(F.col("id").alias("grp"), "collection_id")
+    df = T.phrase_frequencies(chunks, labels, ("collection_id",)).select("collection_id", "term", "df")
+    homes = spark.read.parquet(f"{folder}/taxonomy_versions.parquet").select(F.col("id").alias("grp"), F.col("collection_id").alias("home"))
     c = spark.read.parquet(f"{folder}/concepts.parquet").select("collection_id", F.col("id").alias("node"), "canonical", F.lower("canonical").alias("term"), X.normalize_lang(F.coalesce("lang", F.lit(""))).alias("lang"))
-    return cut(V.candidate_nodes(v.join(c.join(df, ["collection_id", "term"], "left"), "collection_id").drop("collection_id", "term").na.fill(0, ["df"])))
+    concepts = store(V.candidate_nodes(c.join(df, ["collection_id", "term"], "left").withColumnRenamed("collection_id", "home").drop("term").na.fill(0, ["df"])))
+    e = cut(accepted(spark, folder))
+    return e, cut(G.nodes_of(e).join(homes, "grp").join(concepts, ["home", "node"]).drop("home")), concepts, homes
+
+
+def _totals(concepts, homes):
+    """(grp, n_rows, n_nodes, n_candidates) of every version."""
+    per = concepts.groupBy("home").agg(F.count("*").alias("n_rows"), F.count_distinct("node").alias("n_nodes"), F.count_if("candidate").alias("n_candidates"))
+    return homes.join(per, "home").groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_nodes", "n_candidates")])
 
 
 def _inner(e, n):
@@ -231,23 +243,28 @@ def _inner(e, n):
 
 def fragmentation_risk(spark, folder):
     """EV-05 per version."""
-    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
-    return _version(V.fragmentation(G.components(_inner(e, n), n), e, n))
+    e, n, concepts, homes = _judged(spark, folder)
+    return _version(V.fragmentation(G.parts_of(_inner(e, n)), e, n, totals=_totals(concepts, homes)))
 
 
 def candidate_coverage(spark, folder):
     """EV-10, SET-04 per version."""
-    e, n = accepted(spark, folder), _judged_nodes(spark, folder)
-    return _version(V.coverage(n, e)).withColumn("coverage", F.round("coverage", 6)).withColumn("coverage_candidates", F.round("coverage_candidates", 6))
+    e, n, concepts, homes = _judged(spark, folder)
+    return _version(V.coverage(n, e, _totals(concepts, homes))).withColumn("coverage", F.round("coverage", 6)).withColumn("coverage_candidates", F.round("coverage_candidates", 6))
 
 
 def connectivity_report(spark, folder):
     """EV-04: the graph measures of every version for all and candidate concepts, overall and by language."""
-    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
+    return _connectivity(*_judged(spark, folder))
+
+
+def _connectivity(e, n, concepts, homes):
     se, sn = (cut(x) for x in V.connectivity_slices(e, n))
     ends = G.nodes_of(se).join(sn, ["grp", "node"])
     noise = ends.filter(X.is_low_quality_label("canonical")).groupBy("grp").agg(F.count("*").alias("n_noise"))
-    q = G.graph_quality(se, sn, noise)
+    at_home = V.connectivity_slices(e, concepts.withColumnRenamed("home", "grp"))[1].groupBy("grp.grp", "grp.slice").agg(F.count_distinct("node").alias("n"))
+    counts = at_home.withColumnRenamed("grp", "home").join(homes, "home").groupBy(F.struct("grp", "slice").alias("grp")).agg(F.sum("n").alias("n"))
+    q = G.graph_quality(se, None, noise, counts)
     return q.select(F.col("grp.grp").alias("taxonomy_version_id"), F.col("grp.slice").alias("slice"), "n", "n_edges", "n_components", *[F.round(c, 6).alias(c) for c in ("edge_density", "largest_component_ratio", "hubness", "lexical_noise_rate")])
 
 
@@ -273,14 +290,14 @@ def cross_lang_consistency(spark, folder):
     return V.cross_language(candidates(spark, folder).filter("decision = 'accepted'"))
 
 
-def _scores(e, n, reviews):
-    parts = cut(G.components(_inner(e, n), n))
-    lcr = G.largest_component_ratio(parts).select("grp", F.col("ratio").alias("lcr"))
+def _scores(e, n, totals, parts, reviews):
+    largest = G.largest_component_ratio(parts).select("grp", "largest")
+    lcr = totals.join(largest, "grp", "left").select("grp", F.try_divide(F.coalesce("largest", F.lit(1)), F.col("n_nodes")).alias("lcr"))
     hub = _inner(e, n).groupBy("grp", "parent").agg(F.count("*").alias("c")).groupBy("grp").agg((F.max("c") / F.median("c")).alias("hub"))
     wrong = reviews.select("grp", F.coalesce(F.try_divide(F.col("rejected"), F.col("reviewed")), F.lit(0.0)).alias("disagreement"))
-    risk = V.fragmentation(parts, e, n)
+    risk = V.fragmentation(parts, e, n, totals=totals)
     # a graph without edges has no component of its own, so the largest one counts nothing
-    j = V.coverage(n, e).join(risk, "grp").join(lcr, "grp").join(hub, "grp", "left").join(wrong, "grp", "left")
+    j = V.coverage(n, e, totals).join(risk, "grp").join(lcr, "grp").join(hub, "grp", "left").join(wrong, "grp", "left")
     zero = F.lit(0.0)
     score = V.quality_score(F.col("coverage_candidates"), F.when(F.col("hub").isNull(), 0.0).otherwise(F.col("lcr")), F.col("fragmentation"), F.col("weak_share"), F.coalesce("hub", zero), F.coalesce("disagreement", zero))
     return j.select("grp", score.alias("quality"))
@@ -288,8 +305,8 @@ def _scores(e, n, reviews):
 
 def version_quality_scores(spark, folder):
     """EV-08 per version."""
-    e, n = cut(accepted(spark, folder)), _judged_nodes(spark, folder)
-    return _version(_scores(e, n, _reviews(spark, folder))).withColumn("quality", F.round("quality", 2))
+    e, n, concepts, homes = _judged(spark, folder)
+    return _version(_scores(e, n, _totals(concepts, homes), cut(G.parts_of(_inner(e, n))), _reviews(spark, folder))).withColumn("quality", F.round("quality", 2))
 
 
 def active_learning_summary(spark, folder):
@@ -305,15 +322,18 @@ def top_rejection_reasons(spark, folder):
 
 def quality_reports(spark, folder):
     """EV-11, SNK-05: one JSON report per version."""
-    e, n, reviews = cut(accepted(spark, folder)), _judged_nodes(spark, folder), cut(_reviews(spark, folder))
+    e, n, concepts, homes = _judged(spark, folder)
+    reviews, totals, parts = cut(_reviews(spark, folder)), cut(_totals(concepts, homes)), cut(G.parts_of(_inner(e, n)))
     back = lambda df: df.withColumnRenamed("taxonomy_version_id", "grp")
-    structure = V.structure(n.select("grp", "node", "lang"), e, G.depths(e)).withColumn("meets_coverage", F.col("coverage") >= 0.45)
-    parts = {
-        "structural": structure, "graph_connectivity": back(connectivity_report(spark, folder)), "edge_confidence": back(edge_confidence_stats(spark, folder)), "methods": back(method_distribution(spark, folder)),
-        "risk": V.fragmentation(G.components(_inner(e, n), n), e, n), "manual_review": reviews, "active_learning": back(V.active_learning(candidates(spark, folder), spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet"), "taxonomy_version_id")),
-        "quality_score_10": _scores(e, n, reviews),
+    langs = homes.join(concepts.groupBy("home", "lang").agg(F.count("*").alias("n")), "home").select("grp", "lang", "n")
+    alone = langs.unionByName(n.groupBy("grp", "lang").agg((-F.count("*")).alias("n"))).groupBy("grp", "lang").agg(F.sum("n").alias("n")).filter("n > 0")
+    structure = V.structure(n.select("grp", "node", "lang"), e, G.depths(e), alone).withColumn("meets_coverage", F.col("coverage") >= 0.45)
+    sections = {
+        "structural": structure, "graph_connectivity": back(_connectivity(e, n, concepts, homes)), "edge_confidence": back(edge_confidence_stats(spark, folder)), "methods": back(method_distribution(spark, folder)),
+        "risk": V.fragmentation(parts, e, n, totals=totals), "manual_review": reviews, "active_learning": back(V.active_learning(candidates(spark, folder), spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet"), "taxonomy_version_id")),
+        "quality_score_10": _scores(e, n, totals, parts, reviews),
     }
-    return _version(V.assemble(parts, n))
+    return _version(V.assemble(sections, totals))
 
 
 def active_learning_topk(spark, folder):
