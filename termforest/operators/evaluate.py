@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforest.functions import text as X
+from termforest.session import cut
 
 
 def confidence_stats(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -133,12 +134,13 @@ def active_learning(candidates: DataFrame, labels: DataFrame, grp: str, n: int =
 def assemble(parts: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     """EV-11, SNK-05: (grp, report): one JSON report per graph of ``keys`` with a list of rows under each name.
 
-    The rows of a graph in a part are few: one per language, slice, method or rank.
+    The rows of a graph in a part are few: one per language, slice, method or rank. Each part is worked out on its own:
+    one plan of them all takes the driver longer, and more memory, than the work itself.
     """
     out = keys.select("grp").distinct()
     for name, df in parts.items():
         rest = [c for c in df.columns if c != "grp"]
-        listed = df.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
+        listed = cut(df.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name)))
         out = out.join(listed, "grp", "left")
     fields = [F.lit(2).alias("schema_version"), *[F.coalesce(n, F.array()).alias(n) for n in parts]]
     return out.select("grp", F.to_json(F.struct(*fields)).alias("report"))

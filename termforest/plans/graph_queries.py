@@ -290,12 +290,12 @@ def cross_lang_consistency(spark, folder):
     return V.cross_language(candidates(spark, folder).filter("decision = 'accepted'"))
 
 
-def _scores(e, n, totals, parts, reviews):
+def _scores(e, n, totals, parts, reviews, risk=None):
     largest = G.largest_component_ratio(parts).select("grp", "largest")
     lcr = totals.join(largest, "grp", "left").select("grp", F.try_divide(F.coalesce("largest", F.lit(1)), F.col("n_nodes")).alias("lcr"))
     hub = _inner(e, n).groupBy("grp", "parent").agg(F.count("*").alias("c")).groupBy("grp").agg((F.max("c") / F.median("c")).alias("hub"))
     wrong = reviews.select("grp", F.coalesce(F.try_divide(F.col("rejected"), F.col("reviewed")), F.lit(0.0)).alias("disagreement"))
-    risk = V.fragmentation(parts, e, n, totals=totals)
+    risk = V.fragmentation(parts, e, n, totals=totals) if risk is None else risk
     # a graph without edges has no component of its own, so the largest one counts nothing
     j = V.coverage(n, e, totals).join(risk, "grp").join(lcr, "grp").join(hub, "grp", "left").join(wrong, "grp", "left")
     zero = F.lit(0.0)
@@ -324,14 +324,15 @@ def quality_reports(spark, folder):
     """EV-11, SNK-05: one JSON report per version."""
     e, n, concepts, homes = _judged(spark, folder)
     reviews, totals, parts = cut(_reviews(spark, folder)), cut(_totals(concepts, homes)), cut(G.parts_of(_inner(e, n)))
+    risk = cut(V.fragmentation(parts, e, n, totals=totals))
     back = lambda df: df.withColumnRenamed("taxonomy_version_id", "grp")
     langs = homes.join(concepts.groupBy("home", "lang").agg(F.count("*").alias("n")), "home").select("grp", "lang", "n")
     alone = langs.unionByName(n.groupBy("grp", "lang").agg((-F.count("*")).alias("n"))).groupBy("grp", "lang").agg(F.sum("n").alias("n")).filter("n > 0")
     structure = V.structure(n.select("grp", "node", "lang"), e, G.depths(e), alone).withColumn("meets_coverage", F.col("coverage") >= 0.45)
     sections = {
         "structural": structure, "graph_connectivity": back(_connectivity(e, n, concepts, homes)), "edge_confidence": back(edge_confidence_stats(spark, folder)), "methods": back(method_distribution(spark, folder)),
-        "risk": V.fragmentation(parts, e, n, totals=totals), "manual_review": reviews, "active_learning": back(V.active_learning(candidates(spark, folder), spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet"), "taxonomy_version_id")),
-        "quality_score_10": _scores(e, n, totals, parts, reviews),
+        "risk": risk, "manual_review": reviews, "active_learning": back(V.active_learning(candidates(spark, folder), spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet"), "taxonomy_version_id")),
+        "quality_score_10": _scores(e, n, totals, parts, reviews, risk),
     }
     return _version(V.assemble(sections, totals))
 

@@ -41,3 +41,11 @@ def test_phrase_frequencies_count_documents_once(spark):
     chunks = spark.createDataFrame([(str(i), d, k, t) for i, (d, k, t) in enumerate([("x", "p", "solar plant"), ("x", "p", "a solar plant, solar"), ("y", "p", "low-carbon solar"), ("z", "q", "solar plant")])], "chunk_id string, document_id string, k string, text string")
     terms = spark.createDataFrame([("p", "solar"), ("p", "solar plant"), ("p", "low-carbon"), ("q", "solar"), ("q", "wind")], "k string, term string")
     assert rows(T.phrase_frequencies(chunks, terms, ("k",)).select("k", "term", "tf", "df")) == sorted([(1, "p", "low-carbon", 1), (2, "p", "solar", 4), (1, "p", "solar plant", 2), (1, "q", "solar", 1)], key=str)
+
+
+def test_sections_of_a_report_are_worked_out_one_by_one(spark):
+    e, n = graphs(spark)
+    joined = e.join(n.withColumnRenamed("node", "parent"), ["grp", "parent"]).select("grp", "parent", "lang")
+    report = V.assemble({"one": joined, "two": joined.groupBy("grp", "lang").agg(F.count("*").alias("n"))}, n)
+    assert report._jdf.queryExecution().executedPlan().toString().count("Join") == 2
+    assert {r["grp"]: '"two":[]' in r["report"] for r in report.collect()} == {"a": False, "b": False, "c": True}
