@@ -286,6 +286,14 @@ def _reviews(spark, folder):
     return V.review_rates(c.join(_labels_last(spark, folder), "candidate_id", "left").dropna(subset=["grp"]), ["grp"])
 
 
+def _reviewed(spark, folder):
+    """As :func:`_reviews`, but of candidates with a label only: the others are not shuffled to the labels."""
+    labelled = spark.read.parquet(f"{folder}/taxonomy_edge_labels.parquet").select("candidate_id").dropna()
+    may_be = T.sieve(labelled, "candidate_id")
+    c = candidates(spark, folder).select(F.col("id").alias("candidate_id"), F.col("taxonomy_version_id").alias("grp")).filter(may_be(F.col("candidate_id")))
+    return V.review_rates(c.join(_labels_last(spark, folder), "candidate_id").dropna(subset=["grp"]), ["grp"])
+
+
 def cross_lang_consistency(spark, folder):
     return V.cross_language(candidates(spark, folder).filter("decision = 'accepted'"))
 
@@ -306,7 +314,7 @@ def _scores(e, n, totals, parts, reviews, risk=None):
 def version_quality_scores(spark, folder):
     """EV-08 per version."""
     e, n, concepts, homes = _judged(spark, folder)
-    return _version(_scores(e, n, _totals(concepts, homes), cut(G.parts_of(_inner(e, n))), _reviews(spark, folder))).withColumn("quality", F.round("quality", 2))
+    return _version(_scores(e, n, _totals(concepts, homes), cut(G.parts_of(_inner(e, n))), _reviewed(spark, folder))).withColumn("quality", F.round("quality", 2))
 
 
 def active_learning_summary(spark, folder):
